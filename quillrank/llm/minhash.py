@@ -203,7 +203,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     clusters = components(links).withColumnsRenamed({"node": "class", "label": "cluster"})
     labels = _labels(source, sets, clusters, width, percent, miss)
     sets = sets.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    least = sets.where("label is not null").groupBy("label").agg(F.min("id").alias("least"))
+    least = written(sets.where("label is not null").groupBy("label").agg(F.min("id").alias("least")))  # written: Spark can then split a large label in the join
     out = sets.join(least, "label", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
     return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
@@ -218,7 +218,7 @@ def _labels(source: DataFrame, sets: DataFrame, clusters: DataFrame, width: int,
     hub = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("class", F.lit(2)), F.greatest(F.lit(1), F.floor(F.col("members") / HUBS))) == 0)
     blocks = F.when(hub, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block"))
     placed = placed.select("class", "cluster", "id", "blocks", blocks.alias("at"))
-    texts = placed.join(source, placed["id"].eqNullSafe(source["id"])).select("class", "cluster", "blocks", "at", "text")
+    texts = placed.join(source.hint("merge"), placed["id"].eqNullSafe(source["id"])).select("class", "cluster", "blocks", "at", "text")
     texts = texts.select("class", "cluster", "blocks", F.explode("at").alias("block"), "text")
     roots = written(texts.groupBy("cluster", "block").applyInArrow(_verify(width, percent, miss), found))
     labels = roots.where("blocks = 1").select("class", F.col("root").alias("label"))
@@ -238,7 +238,7 @@ def _labels(source: DataFrame, sets: DataFrame, clusters: DataFrame, width: int,
         # every block meets every group of at most about BLOCK probes
         bodies = large.select("class", "cluster", "blocks").join(groups, "cluster").select("class", "cluster", "blocks", F.pmod(F.xxhash64("class", F.lit(1)), "blocks").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("group"))
         meet = probes.union(bodies.select(probes.columns)).distinct().join(ids, "class")
-        texts = meet.join(source.withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id"))).select("class", "cluster", "blocks", "block", "group", "text")
+        texts = meet.join(source.withColumnRenamed("id", "_id").hint("merge"), F.col("id").eqNullSafe(F.col("_id"))).select("class", "cluster", "blocks", "block", "group", "text")
         more = texts.groupBy("cluster", "block", "group").applyInArrow(_verify(width, percent, miss), found)
         edges = large.select(F.col("class").alias("src"), F.col("label").alias("dst")).union(more.select("class", "root"))
         again = components(edges)
