@@ -246,5 +246,13 @@ def _labels(source: DataFrame, sets: DataFrame, clusters: DataFrame, width: int,
     return labels.union(large.select("class", "label"))
 
 
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each component, that of the smallest key, and all rows without words.  Equal rows count as one."""
+    whole = docs.withColumn("_row", F.struct(F.col(key).alias("key"), F.xxhash64(*docs.columns).alias("hash"))).dropDuplicates(["_row"])
+    found = near_duplicates(whole, "_row", text, width, percent)
+    kept = found.where("kept").select(F.col("_row").alias("_kept"))
+    return whole.join(kept, F.col("_row").eqNullSafe(F.col("_kept")), "left_semi").select(*docs.columns)
+
+
 def op9_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
