@@ -1,12 +1,49 @@
-"""The corpus pipeline: stages over documents, each one operator of the training-data subpackage."""
+"""The corpus pipeline: stages over documents, each one operator of the training-data subpackage.
 
-STAGES: list = []
+Language ID drops documents whose language it can't tell, MinHash near-dedup (five-word shingles, 0.8) keeps one
+document of each group, the secret scan replaces secrets, mixing takes documents none, one or two times, and
+packing cuts the corpus into sequences of 1024 tokens."""
+
+from quillrank.llm import langid, minhash, mixing, packing, secret_scan
+from quillrank.llm.common import written
+
+
+def language(spark, docs, sf_dir):
+    return langid.keep_identified(docs, langid.train(docs))
+
+
+def near_duplicates(spark, docs, sf_dir):
+    return minhash.deduplicated(docs, width=5, percent=80)
+
+
+def secrets(spark, docs, sf_dir):
+    return secret_scan.redact(docs, length="n_chars")
+
+
+def mixing_stage(spark, docs, sf_dir):
+    return mixing.mix(docs)
+
+
+def packing_stage(spark, docs, sf_dir):
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", language),
+    ("near_duplicates", near_duplicates),
+    ("secret_scan", secrets),
+    ("source_mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+
+#: SQL can't train the classifier or tokenize; tests hold each stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """Applies the stages to documents in turn."""
+    """Applies the stages to documents in turn, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        docs = docs if i == len(STAGES) - 1 else written(docs)
     return docs
