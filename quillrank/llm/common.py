@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,22 +51,49 @@ def row_key(*columns: str) -> list[Column]:
     return [F.xxhash64(*columns).alias("_k1"), F.hash(*reversed(columns)).alias("_k2")]
 
 
+#: Links that one task can finish; components contracts any number of them to so few first.
+FINISH = 16_000
+
+
+def _forest(batches):
+    """All remaining links in one task: every node with the smallest node it reaches."""
+    up: dict[int, int] = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch["src"].to_pylist(), batch["dst"].to_pylist()):
+            a, b = sorted((root(a), root(b)))
+            up[b] = a
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([root(x) for x in nodes], pa.int64())], ["node", "up"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(src, dst): rows (node, label), label the smallest node of the component.
 
-    Each round hooks every node to its smallest neighbour and contracts; the edge table at least
-    halves its nodes a round.  Aggregations combine before the shuffle and the joins can be split,
-    so a node with very many edges does not fill one task."""
+    Each round hooks every node to its smallest neighbour and contracts, which at least halves the nodes of a
+    component.  Aggregations combine before the shuffle and the joins can be split, so a node with very many
+    links does not fill one task.  Once FINISH links or fewer are left, one task ends it."""
     edges = edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
     edges, labels = written(edges), None
-    while not edges.isEmpty():
-        both = edges.select(F.col("src").alias("node"), F.col("dst").alias("other")).union(edges.select("dst", "src"))
-        parent = written(both.groupBy("node").agg(F.least("node", F.min("other")).alias("up")))
+    while left := edges.count():
+        if left <= FINISH:
+            parent = written(edges.coalesce(1).mapInArrow(_forest, "node long, up long"))
+        else:
+            both = edges.select(F.col("src").alias("node"), F.col("dst").alias("other")).union(edges.select("dst", "src"))
+            parent = written(both.groupBy("node").agg(F.least("node", F.min("other")).alias("up")))
         if labels is None:
             labels = parent.select("node", F.col("up").alias("label"))
         else:
             step = parent.select(F.col("node").alias("label"), "up")
             labels = written(labels.join(step, "label", "left").select("node", F.coalesce("up", "label").alias("label")))
+        if left <= FINISH:
+            break
         a = parent.select(F.col("node").alias("src"), F.col("up").alias("a"))
         b = parent.select(F.col("node").alias("dst"), F.col("up").alias("b"))
         moved = edges.join(a, "src").join(b, "dst").where("a <> b")
@@ -123,8 +151,6 @@ def word_hashes(column, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of an Arrow string array, in order, and the number of words of each text (null: 0).
 
     Polynomial over the UTF-8 bytes, whole texts, no Python object for a word."""
-    import pyarrow as pa
-
     column = column.cast(pa.large_string()).fill_null("")
     column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
     if not len(column):

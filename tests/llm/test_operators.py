@@ -60,7 +60,9 @@ def test_word_hashes_do_not_depend_on_pieces(monkeypatch):
     assert (whole[0][: len(cut[0])] == cut[0]).all() and (whole[1][:19] == cut[1]).all()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("finish", [16_000, 0, 5])
+def test_components(spark, monkeypatch, finish):
+    monkeypatch.setattr(common, "FINISH", finish)
     edges = [(i, i + 1) for i in range(30)] + [(100, 90), (90, 100), (7, 7), (55, 54), (54, 53), (60, 53)]
     found = {r.node: r.label for r in common.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert found == {i: 0 for i in range(31)} | {100: 90, 90: 90} | {i: 53 for i in (53, 54, 55, 60)}
