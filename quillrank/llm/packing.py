@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -15,7 +17,7 @@ from .common import prepare, written
 
 VOCABULARY = "byte_bpe_50k"
 #: Entries of a worker's cache of encoded words.
-CACHE = 300_000
+CACHE = 600_000
 _encoders: dict = {}
 
 
@@ -40,19 +42,25 @@ def _encoder(name: str):
                 if len(self) >= CACHE:
                     self.clear()
                 plain = word and not word[0].isspace() and not word[-1].isspace()
-                self[word] = got = np.array(whole(" " + word), "<u2").tobytes() if plain else None
+                self[word] = got = packed(" " + word) if plain else None
                 return got
 
+        def packed(text: str) -> bytes:
+            ids = array("H", whole(text))
+            if sys.byteorder == "big":
+                ids.byteswap()
+            return ids.tobytes()
+
         words = Words()
 
         def encode(text: str) -> bytes:
             first, *rest = text.split(" ")
             if first and not first[-1].isspace():
                 try:
-                    return b"".join(chain([np.array(whole(first), "<u2").tobytes()], map(words.__getitem__, rest)))
+                    return b"".join(chain([packed(first)], map(words.__getitem__, rest)))
                 except TypeError:  # other white space beside a space
                     pass
-            return np.array(whole(text), "<u2").tobytes()
+            return packed(text)
 
         _encoders[name] = encode
     return _encoders[name]
