@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import kernels as K
 from ..operators import ranking as R
 from ..streaming.events import arm_counts
 from .views import for_duckdb, run_sql
@@ -257,3 +258,32 @@ for _name, (_ids, _sql) in RELATIONAL.items():
     QUERIES[_name] = lambda spark, sf_dir, sql=_sql: run_sql(spark, sf_dir, sql)
     QUERIES[_name].__doc__ = _ids
     ORACLE[_name] = for_duckdb(_sql)
+
+
+def match_best_assignment(spark, sf_dir):
+    """JON18: items to gold groups one to one, the heaviest matching."""
+    pairs = view(spark, sf_dir, "matched").where("group_id is not null").selectExpr("question_id", "response_id", "item_ord", "group_id", "cast(100 - item_ord as double) as weight")
+    return K.assign(pairs, ["question_id", "response_id"], "item_ord", "group_id", "weight")
+
+
+def cluster_complete_link(spark, sf_dir):
+    """SET08, SET10, SET17, STR23: near-duplicate surfaces of a question."""
+    surfaces = view(spark, sf_dir, "fused").where("rk <= 12").select("question_id", "rk", "answer")
+    return K.complete_link(surfaces, "question_id", "rk", "answer")
+
+
+def rank_diversify(spark, sf_dir):
+    """WIN19, ENS20."""
+    signed = view(spark, sf_dir, "fused").where("rk <= 20").select("question_id", "rk", F.split("answer", " ")[0].alias("signature"))
+    return K.diversify(signed, "question_id", "rk", "signature")
+
+
+def stats_paired_bootstrap(spark, sf_dir):
+    """ENS14, ENS15."""
+    means = view(spark, sf_dir, "arm_means").groupBy("question_id").pivot("arm", ["click", "purchase"]).agg(F.first("mean_score"))
+    return K.paired_bootstrap(means.select("question_id", (F.col("click") - F.col("purchase")).alias("delta")), "delta", 2000)
+
+
+#: Sequential kernels: tests hold them against brute force.
+for _f in (match_best_assignment, cluster_complete_link, rank_diversify, stats_paired_bootstrap):
+    QUERIES[_f.__name__] = _f
