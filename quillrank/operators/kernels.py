@@ -60,15 +60,20 @@ def assign(df: DataFrame, keys: list[str], left: str, right: str, weight: str) -
     fields = [df.schema[c] for c in (*keys, left, right)]
 
     def run(rows):
-        rows = rows.sort_values([left, right]).drop_duplicates([left, right])
-        grid = rows.pivot(index=left, columns=right, values=weight).fillna(0.0)
-        found = [(grid.index[i], grid.columns[j]) for i, j in enumerate(best_assignment(grid.to_numpy())) if j >= 0 and grid.iat[i, j] > 0]
-        out = pd.DataFrame(found, columns=[left, right])
-        for k in keys:
-            out[k] = rows[k].iloc[0]
-        return out[[*keys, left, right]]
-
-    return df.select(*keys, left, right, weight).groupBy(*keys).applyInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields))
+        groups: dict[tuple, dict] = {}
+        for *k, i, j, w in rows[[*keys, left, right, weight]].itertuples(index=False):
+            groups.setdefault(tuple(k), {}).setdefault((i, j), w)
+        out = []
+        for k, cells in groups.items():
+            lefts, rights = sorted({i for i, _ in cells}), sorted({j for _, j in cells})
+            grid = np.zeros((len(lefts), len(rights)))
+            for (i, j), w in cells.items():
+                grid[lefts.index(i), rights.index(j)] = w
+            out += [(*k, lefts[i], rights[j]) for i, j in enumerate(best_assignment(grid)) if j >= 0 and grid[i, j] > 0]
+        return pd.DataFrame(out, columns=[*keys, left, right])
+
+    # one call for all groups of a question
+    return df.select(*keys, left, right, weight).groupBy(keys[0]).applyInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields))
 
 
 def ratio(a: str, b: str) -> float:

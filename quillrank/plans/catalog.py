@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import parsing as P
 from ..functions import text as T
 from ..operators import kernels as K
 from ..operators import ranking as R
@@ -150,6 +151,50 @@ def stream_arm_counts(spark, sf_dir):
     return arm_counts(table(spark, sf_dir, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+_KEYS = "with k as (select question_id, response_id, string_agg(item_key, '|' order by item_key) as items from resp_sets group by question_id, response_id), kp as (select p.*, a.items as chosen_key, b.items as rejected_key from pairs p join k a on a.question_id = p.question_id and a.response_id = p.chosen_id join k b on b.question_id = p.question_id and b.response_id = p.rejected_id)"
+
+
+def _set_keys(spark, sf_dir):
+    return view(spark, sf_dir, "resp_sets").groupBy("question_id", "response_id").agg(F.array_join(F.sort_array(F.collect_set("item_key")), "|").alias("items"))
+
+
+def _keyed_pairs(spark, sf_dir):
+    keys = _set_keys(spark, sf_dir)
+    out = view(spark, sf_dir, "pairs")
+    for side in ("chosen", "rejected"):
+        out = out.join(keys.select("question_id", F.col("response_id").alias(f"{side}_id"), F.col("items").alias(f"{side}_key")), ["question_id", f"{side}_id"])
+    return out
+
+
+@entry("agg_duplicate_pairs", f"{_KEYS} select cast(coalesce(sum(n - 1), 0) as bigint) as duplicates, count(*) as distinct_pairs from (select count(*) as n from kp group by question_id, chosen_key, rejected_key)")
+def agg_duplicate_pairs(spark, sf_dir):
+    """AGG06, SET07."""
+    n = _keyed_pairs(spark, sf_dir).groupBy("question_id", "chosen_key", "rejected_key").agg(F.count("*").alias("n"))
+    return n.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"), F.count("*").alias("distinct_pairs"))
+
+
+@entry("agg_contradictions", f"{_KEYS} select count(*) as contradictions from kp a where exists (select 1 from kp b where b.question_id = a.question_id and b.chosen_key = a.rejected_key and b.rejected_key = a.chosen_key and (b.chosen_rank < a.chosen_rank or (b.chosen_rank = a.chosen_rank and b.rejected_rank < a.rejected_rank)))")
+def agg_contradictions(spark, sf_dir):
+    """AGG07: the reversed key stands earlier."""
+    a = _keyed_pairs(spark, sf_dir)
+    b = a.select("question_id", F.col("chosen_key").alias("rejected_key"), F.col("rejected_key").alias("chosen_key"), F.struct("chosen_rank", "rejected_rank").alias("earlier"))
+    first = b.groupBy("question_id", "chosen_key", "rejected_key").agg(F.min("earlier").alias("earlier"))
+    return a.join(first, ["question_id", "chosen_key", "rejected_key"]).where(F.col("earlier") < F.struct("chosen_rank", "rejected_rank")).agg(F.count("*").alias("contradictions"))
+
+
+@entry("window_dedupe_best", f"{_KEYS} select question_id, response_id from (select r.question_id, r.response_id, row_number() over (partition by r.question_id, items order by rk) as rn from ranked r join k on k.question_id = r.question_id and k.response_id = r.response_id) where rn = 1")
+def window_dedupe_best(spark, sf_dir):
+    """WIN03, SET16: the best-ranked response of each exact set."""
+    ranked = view(spark, sf_dir, "ranked").join(_set_keys(spark, sf_dir), ["question_id", "response_id"])
+    return ranked.groupBy("question_id", "items").agg(F.min_by("response_id", "rk").alias("response_id")).select("question_id", "response_id")
+
+
+@entry("split_hash_fold", "select c_custkey, cast('0x' || substring(sha256(cast(c_custkey as string)), 1, 8) as bigint) % 5 as fold, cast('0x' || substring(sha256(concat_ws(':', '3407', cast(c_custkey as string), '0')), 1, 8) as bigint) as seed from customer")
+def split_hash_fold(spark, sf_dir):
+    """SPL10, SPL14."""
+    return table(spark, sf_dir, "customer").select("c_custkey", P.hash_fold(F.col("c_custkey")).alias("fold"), P.draw_seed(F.col("c_custkey"), F.lit(0)).alias("seed"))
+
+
 #: name -> (blueprint IDs, one statement for both engines)
 RELATIONAL = {
     "scan_first_key": ("SRC08, SET09, SET14, WIN21", "select question_id, item_key, response_id, dup from (select question_id, item_key, response_id, count(*) over (partition by question_id, item_key) as dup, row_number() over (partition by question_id, item_key order by response_id, item_ord, tie) as rn from resp_items) where rn = 1"),
@@ -186,8 +231,6 @@ RELATIONAL = {
     "join_cluster_lookup": ("JON22, MET02", "select question_id, response_id, count(distinct coalesce('gold:' || cast(group_id as string), 'surface:' || item_key)) as clusters, count(distinct group_id) as aligned from matched group by question_id, response_id"),
     "agg_numeric_summary": ("AGG01, AGG24", "select arm, count(score) as n, round(avg(score), 6) as mean, round(median(score), 6) as median, min(score) as low, max(score) as high from event_arm group by arm"),
     "agg_distinct_questions": ("AGG04, AGG05", "select checkpoint, count(*) as responses, count(distinct question_id) as questions from metrics group by checkpoint"),
-    "agg_duplicate_pairs": ("AGG06", "select cast(sum(n - 1) as bigint) as duplicates from (select question_id, chosen_n, rejected_n, gain, count(*) as n from pairs group by question_id, chosen_n, rejected_n, gain)"),
-    "agg_contradictions": ("AGG07", "select count(*) as contradictions from (select distinct a.question_id, a.item_key, a.response_id from resp_items a join resp_items b on a.question_id = b.question_id and a.item_key = b.item_key and a.checkpoint <> b.checkpoint and a.response_id > b.response_id)"),
     "agg_omission_recoverable": ("AGG10", "select g.question_id, count(*) as missing, cast(sum(case when s.item_key is not null then 1 else 0 end) as bigint) as recoverable from gold_groups g join (select question_id, response_id from ranked where rk = 1) b on b.question_id = g.question_id left join (select distinct question_id, item_key from resp_items) s on s.question_id = g.question_id and s.item_key = g.alias_key where not exists (select 1 from resp_sets x where x.response_id = b.response_id and x.question_id = g.question_id and x.item_key = g.alias_key) group by g.question_id"),
     "agg_bank_diversity": ("AGG11, SET05, SET06", "with t as (select question_id, response_id, count(*) as n from resp_sets group by question_id, response_id), q as (select * from (select *, row_number() over (partition by question_id order by response_id) as rn from t) where rn <= 6), x as (select a.question_id, a.response_id as ra, b.response_id as rb, max(a.n) as na, max(b.n) as nb, count(sb.item_key) as k from q a join q b on a.question_id = b.question_id and a.rn < b.rn join resp_sets sa on sa.question_id = a.question_id and sa.response_id = a.response_id left join resp_sets sb on sb.question_id = b.question_id and sb.response_id = b.response_id and sb.item_key = sa.item_key group by a.question_id, a.response_id, b.response_id) select question_id, count(*) as pairs, round(avg(cast(k as double) / (na + nb - k)), 9) as jaccard, cast(sum(na + nb - 2 * k) as bigint) as set_edits from x group by question_id"),
     "agg_pair_stats": ("AGG12, AGG09", "select count(*) as pairs, round(avg(chosen_n), 6) as chosen_n, round(avg(rejected_n), 6) as rejected_n, round(avg(gain), 6) as gain, cast(sum(case when chosen_f1 <= rejected_f1 then 1 else 0 end) as bigint) as violations from pairs"),
@@ -209,7 +252,6 @@ RELATIONAL = {
     "metric_reward": ("MET17", "select question_id, response_id, round(0.5e0 * f1 + 0.3e0 * r + 0.2e0 * p - 0.1e0 * abs(n_pred - n_gold) / greatest(n_pred, n_gold), 9) as reward from metrics"),
     "window_response_rank": ("WIN01, SRT01", "select question_id, response_id, rk from ranked"),
     "window_score_rank": ("WIN02", "select question_id, response_id, row_number() over (partition by question_id order by o_totalprice desc, f1 desc, p desc, r desc, n_pred, response_id) as rk from metrics join orders on o_orderkey = response_id"),
-    "window_dedupe_best": ("WIN03, SET07, SET16", "with k as (select m.question_id, m.response_id, min(item_key) as lo, max(item_key) as hi, count(distinct item_key) as n from matched m group by m.question_id, m.response_id) select question_id, response_id from (select r.question_id, r.response_id, row_number() over (partition by r.question_id, lo, hi, n order by rk) as rn from ranked r join k on k.question_id = r.question_id and k.response_id = r.response_id) where rn = 1"),
     "window_pair_cap": ("WIN04, WIN14", "select question_id, chosen_id, rejected_id from (select *, row_number() over (partition by question_id order by gain desc, chosen_rank, rejected_rank) as rn from (select *, row_number() over (partition by question_id, least(chosen_id, rejected_id), greatest(chosen_id, rejected_id) order by gain desc, chosen_rank) as once from pairs) where once = 1) where rn <= 3"),
     "window_generation_order": ("WIN05", "select question_id, answer, row_number() over (partition by question_id order by first_draw nulls last, answer) as rk from (select question_id, answer, min(draw) as first_draw from bank_rank group by question_id, answer)"),
     "window_construction_robin": ("WIN10, WIN11, PAR22", "select question_id, checkpoint, response_id from (select *, row_number() over (partition by question_id order by turn, checkpoint) as pos from (select *, row_number() over (partition by question_id, checkpoint order by f1 desc, response_id) as turn from metrics)) where pos <= 4"),
@@ -226,10 +268,9 @@ RELATIONAL = {
     "set_frequency_fallback": ("SET02, ENS01", "with f as (select question_id, item_key, count(distinct response_id) as n from resp_items group by question_id, item_key), m as (select question_id, max(n) as most from f group by question_id) select f.question_id, f.item_key from f join m on m.question_id = f.question_id where n >= 3 or most < 3"),
     "set_leakage": ("SET03, FLT19", "select count(*) as shared from (select question_id from bank_rank where question_id % 2 = 0 intersect select question_id from bank_rank where question_id % 2 = 1)"),
     "set_exact_duplicates": ("SET09, SET13", "select min(doc_id) as first_id, count(*) as copies from documents group by text"),
-    "array_ordered_subset": ("ARR06", "select count(*) as subsets from pairs a join pairs b on a.question_id = b.question_id and a.chosen_id = b.rejected_id"),
+    "join_pair_chains": ("extension", "select count(*) as subsets from pairs a join pairs b on a.question_id = b.question_id and a.chosen_id = b.rejected_id"),
     "array_min_ranks": ("ARR10, ARR11", "select question_id, answer, model, src_rank as min_rank from per_model"),
     "array_window_merge": ("ARR12, ARR13", "select conv_id, cast(floor((turn - w) / 2) as bigint) as window_id, count(*) as turns from (select c.conv_id, c.turn, v.w from conversations c join (select 0 as w union all select 1 as w) v on true) group by conv_id, cast(floor((turn - w) / 2) as bigint)"),
-    "split_hash_fold": ("SPL10, SPL11", "select c_custkey, substring(sha<<cast(c_custkey as string)>>, 1, 1) in ('0', '5', 'a') as validation from customer"),
     "split_by_question": ("SPL02, SPL04, SPL05", "with h as (select question_id, row_number() over (order by sha<<concat_ws(':', '3', cast(question_id as string))>>) as rn, count(*) over () as n from (select distinct question_id from gold_groups)) select g.question_id, g.alias_key, rn <= greatest(1, least(n - 1, round(n * 0.2e0))) as dev from gold_groups g join h on h.question_id = g.question_id"),
     "split_balance_classes": ("SPL07", "select arm, ord from (select *, min(n) over () as target from (select arm, ord, count(*) over (partition by arm) as n, row_number() over (partition by arm order by sha<<cast(ord as string)>>) as rn from event_arm)) where rn <= target"),
     "split_pool_weights": ("SPL16", "select question_id, answer, round(w / avg(w) over (), 9) as weight from (select question_id, answer, cast(1 as double) / count(*) over (partition by question_id) as w from pooled)"),
