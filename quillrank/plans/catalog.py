@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..operators import kernels as K
 from ..operators import ranking as R
 from ..streaming.events import arm_counts
+from . import answers
 from .views import for_duckdb, run_sql
 
 S = T.SPACE.replace("'", "''")
@@ -328,3 +329,6 @@ def stats_paired_bootstrap(spark, sf_dir):
 #: Sequential kernels: tests hold them against brute force.
 for _f in (match_best_assignment, cluster_complete_link, rank_diversify, stats_paired_bootstrap):
     QUERIES[_f.__name__] = _f
+
+QUERIES |= answers.QUERIES
+ORACLE |= answers.ORACLE
