@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions import equivalence as E
 from ..functions import forms as M
+from ..functions import parsing as A
+from ..functions import prompts as C
 from ..functions import responses as J
 from ..functions import spans as S
-from ..functions.text import clean_text, loose_key
+from ..functions.text import clean_text, loose_key, serialize_items
 from ..operators import evidence as V
 from ..operators import learned as L
 from ..operators import preferences as P
@@ -275,3 +277,122 @@ def nearest_texts(spark, sf_dir):
     """ENS05: the five documents nearest each document whose id is divisible by 100, against all documents."""
     vectors = L.tfidf(table(spark, sf_dir, "documents"), "doc_id", "text")
     return L.nearest(vectors, vectors.where("doc_id % 100 = 0"), "doc_id").withColumn("score", F.round("score", 4))
+
+
+def _listed(spark, sf_dir) -> DataFrame:
+    items = view(spark, sf_dir, "resp_items").groupBy("question_id", "response_id").agg(F.array_sort(F.collect_list(F.struct("item_ord", "tie", "surface"))).alias("s"))
+    return items.select("question_id", "response_id", F.transform("s", lambda x: x["surface"]).alias("items"))
+
+
+@entry("parse_lists", "select question_id, response_id, count(*) as n_items, case when response_id % 4 < 2 then 'ok' else 'malformed' end as status, case response_id % 4 when 0 then '' when 1 then 'placeholder_items_dropped' when 2 then 'mismatched_tag_count|truncated_final_item' else 'mismatched_tag_count' end as warnings from resp_items group by question_id, response_id")
+def parse_lists(spark, sf_dir):
+    """STR05, STR06, FLT05: whole lists, with a placeholder, cut off, and with an end mark too many."""
+    bad = F.when(F.col("response_id") % 4 == 1, "[BI]item_1[EI]").when(F.col("response_id") % 4 == 2, "[BI]cut").when(F.col("response_id") % 4 == 3, "[EI]").otherwise("")
+    p = _listed(spark, sf_dir).select("question_id", "response_id", A.parse_list(F.concat(serialize_items(F.col("items")), bad)).alias("p"))
+    return p.select("question_id", "response_id", F.size("p.items").cast("long").alias("n_items"), "p.status", F.array_join("p.warnings", "|").alias("warnings"))
+
+
+@entry("parse_candidates", "select question_id, response_id, count(distinct surface) as tagged, case when count(*) >= 2 then count(distinct surface) else 1 end as numbered from resp_items group by question_id, response_id")
+def parse_candidates(spark, sf_dir):
+    """STR07, STR08, STR09: the same candidates as tags and as a numbered list."""
+    items = _listed(spark, sf_dir)
+    numbered = F.array_join(F.transform("items", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x)), " ")
+    n = lambda c: F.size(A.factoid_candidates(c)).cast("long")
+    return items.select("question_id", "response_id", n(serialize_items(F.col("items"), "E")).alias("tagged"), n(numbered).alias("numbered"))
+
+
+@entry("parse_single", "select p_partkey, k, case when k < 3 then p_name end as answer, case when k < 2 then 'strict_tagged' when k = 2 then 'single_answer_line' else 'unrecoverable' end as how from part cross join (values (0), (1), (2), (3)) v(k)")
+def parse_single(spark, sf_dir):
+    """STR10, STR11, UDF11: strict, labelled, plain-line and lost answers."""
+    n = F.col("p_name")
+    raw = F.array(F.concat(F.lit("[BE]"), n, F.lit("[EE]")), F.concat(F.lit("Answer: [BE] "), n, F.lit(" [EE]")), F.concat(F.lit("Answer: "), n), F.concat(n, F.lit(" only")))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(raw).alias("k", "raw"))
+    return rows.select("p_partkey", "k", F.inline(F.array(A.recover_answer(F.col("raw")))))
+
+
+@entry("match_boundary", "select p_partkey, k, case k when 0 then 'exact' when 1 then 'boundary_variant' else 'mismatch' end as match from part cross join (values (0), (1), (2)) v(k)")
+def match_boundary(spark, sf_dir):
+    """STR27, UDF06: intended against extracted answers."""
+    n = F.col("p_name")
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.posexplode(F.array(F.upper(n), F.concat(F.lit("The "), n, F.lit(".")), F.concat(n, F.lit("s")))).alias("k", "x"))
+    return rows.select("p_partkey", "k", A.match_type(F.col("p_name"), F.col("x")).alias("match"))
+
+
+@entry("filter_supported", "select g.question_id, r.response_id, count(*) as supported from gold_groups g join resp_sets r on r.question_id = g.question_id and r.item_key = g.alias_key group by g.question_id, r.response_id")
+def filter_supported(spark, sf_dir):
+    """FLT08, SFT05: gold aliases that stand whole in one item of a response."""
+    texts = view(spark, sf_dir, "resp_sets").groupBy("question_id", "response_id").agg(F.collect_set("item_key").alias("t"))
+    gold = view(spark, sf_dir, "gold_groups").groupBy("question_id").agg(F.collect_set("alias_key").alias("g"))
+    key = lambda c: F.transform(c, loose_key)
+    out = texts.join(gold, "question_id").select("question_id", "response_id", F.size(A.supported(key("g"), key("t"))).cast("long").alias("supported"))
+    return out.where("supported > 0")
+
+
+@entry("prompt_round_trip", r"select item_id, 'Answer it.' as instruction, 'What is ' || item_id || '?' as question, 2 as n_resources, sha256('Document: ' || item_id || chr(10) || trim(regexp_replace(text, '\s+', ' ', 'g'))) as first_sha256 from benchmark")
+def prompt_round_trip(spark, sf_dir):
+    """PRJ08, PRJ17, SFT01, SFT04: plain prompts written and read back."""
+    doc = lambda t: F.concat(F.lit("Document: "), F.col("item_id").cast("string"), F.lit("\n"), clean_text(t))
+    prompt = C.plain_prompt(F.lit("Answer it."), F.concat(F.lit("What is "), F.col("item_id").cast("string"), F.lit("?")), F.array(doc(F.col("text")), F.lit(" "), doc(F.lit("other"))))
+    p = table(spark, sf_dir, "benchmark").select("item_id", C.parse_plain(prompt).alias("p"))
+    return p.select("item_id", "p.instruction", "p.question", F.size("p.resources").alias("n_resources"), F.sha2(F.col("p.resources")[0], 256).alias("first_sha256"))
+
+
+@entry("token_distance")
+def token_distance(spark, sf_dir):
+    """STR24, PAR03: edits between the item lists of a question's two best responses."""
+    ranked = view(spark, sf_dir, "ranked").where("rk <= 2").select("question_id", "response_id", "rk").join(_listed(spark, sf_dir), ["question_id", "response_id"])
+    side = lambda k, name: ranked.where(F.col("rk") == k).select("question_id", F.col("items").alias(name))
+    return side(1, "a").join(side(2, "b"), "question_id").select("question_id", C.token_distance("a", "b").alias("edits"))
+
+
+@entry("embedding_rank", "with q as (select label, embedding as qe from (select *, row_number() over (partition by label order by vec_id) as rn from embeddings) where rn = 1), s as (select e.label, vec_id, round(list_dot_product(cast(embedding as double[]), cast(qe as double[])) / sqrt(list_dot_product(cast(embedding as double[]), cast(embedding as double[])) * list_dot_product(cast(qe as double[]), cast(qe as double[]))), 6) as score from embeddings e join q on q.label = e.label) select label, vec_id, score, row_number() over (partition by label order by score desc, vec_id) as place from s")
+def embedding_rank(spark, sf_dir):
+    """ENS06, PRJ06: vectors of a label by cosine with its first."""
+    from pyspark.sql import Window
+
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    e = table(spark, sf_dir, "embeddings")
+    q = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("q"))
+    score = dot("embedding", "q") / F.sqrt(dot("embedding", "embedding") * dot("q", "q"))
+    return e.join(q, "label").select("label", "vec_id", F.round(score, 6).alias("score")).withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "vec_id")))
+
+
+@entry("split_kfold", "select question_id, group_id, cast('0x' || substring(sha256(cast(question_id as varchar)), 1, 8) as bigint) % 5 as fold from gold_groups")
+def split_kfold(spark, sf_dir):
+    """SPL11: all rows of a question in one fold."""
+    return view(spark, sf_dir, "gold_groups").select("question_id", "group_id", A.hash_fold(F.col("question_id")).alias("fold"))
+
+
+@entry("agg_form_audit", f"select form, count(*) as n, count(distinct p_partkey) as parts from ({'{forms}'}) group by form".replace("{forms}", ORACLE["forms_classify"]))
+def agg_form_audit(spark, sf_dir):
+    """AGG29."""
+    return forms_classify(spark, sf_dir).groupBy("form").agg(F.count("*").alias("n"), F.countDistinct("p_partkey").alias("parts"))
+
+
+#: name -> (blueprint IDs, one statement for both engines)
+RELATIONAL = {
+    "split_nested": ("SPL03, SPL06, SPL12", "select question_id, case when rn <= floor(n * 0.1e0) then 'test' when rn <= floor(n * 0.2e0) then 'dev' else 'train' end as split from (select question_id, row_number() over (order by sha<<concat_ws(':', '7', cast(question_id as string))>>, question_id) as rn, count(*) over () as n from (select distinct question_id from gold_groups))"),
+    "split_panel": ("SPL13", "select id, stratum from (select c_custkey as id, c_mktsegment as stratum, row_number() over (partition by c_mktsegment order by sha<<concat_ws(':', '9', cast(c_custkey as string))>>, c_custkey) as rn from customer) where rn <= 20"),
+    "split_distractor": ("SPL17", "select id, stratum, coalesce(following, first_id) as distractor from (select c_custkey as id, c_mktsegment as stratum, lead(c_custkey) over (partition by c_mktsegment order by sha<<cast(c_custkey as string)>>, c_custkey) as following, first_value(c_custkey) over (partition by c_mktsegment order by sha<<cast(c_custkey as string)>>, c_custkey) as first_id from customer)"),
+    "window_model_balanced": ("WIN13", "with q as (select question_id, concat('m', cast((row_number() over (order by sha<<cast(question_id as string)>>, question_id) - 1) % 3 as string)) as model from (select distinct question_id from bank_rank)) select question_id, model, answer from (select q.question_id, q.model, p.answer, row_number() over (partition by q.question_id order by p.src_rank, p.answer) as rn from q join per_model p on p.question_id = q.question_id and p.model = q.model) where rn = 1"),
+    "window_random_first": ("WIN15", "select question_id, response_id from (select question_id, response_id, row_number() over (partition by question_id order by sha<<concat_ws(':', '31', cast(response_id as string))>>, response_id) as rn from metrics) where rn = 1"),
+    "window_snippet_frequency": ("WIN17", "select question_id, item_key, snippets, row_number() over (partition by question_id order by snippets desc, item_key) as place from (select question_id, item_key, count(distinct response_id) as snippets from resp_sets group by question_id, item_key)"),
+    "agg_sorted_counts": ("AGG02", "select event_type, n, row_number() over (order by n desc, event_type) as place from (select event_type, count(*) as n from events group by event_type)"),
+    "agg_cluster_summary": ("AGG20, SET11", "select question_id, count(*) as clusters, max(n) as largest, cast(sum(case when n = 1 then 1 else 0 end) as bigint) as singletons from (select question_id, split_part(answer, ' ', 1) as head, count(*) as n from fused group by question_id, split_part(answer, ' ', 1)) group by question_id"),
+    "agg_truncation": ("AGG26", "select lang, count(*) as prompts, cast(sum(case when length(text) > 2000 then 1 else 0 end) as bigint) as truncated, max(length(text)) as longest from documents group by lang"),
+    "agg_citations": ("AGG33", "select checkpoint, round(cast(sum(case when hit then 1 else 0 end) as double) / count(*), 9) as citation_precision, round(cast(sum(case when group_id is not null then 1 else 0 end) as double) / count(*), 9) as grounded from matched group by checkpoint"),
+    "agg_judge_summary": ("AGG34, MET14, UDF03, UDF04", "select checkpoint, class, count(*) as n, round(cast(count(*) as double) / sum(count(*)) over (partition by checkpoint), 9) as fraction from (select checkpoint, case when hit then 'C3' when group_id is not null then 'C2' else 'C1' end as class from matched) group by checkpoint, class"),
+    "array_layout": ("ARR14", "select question_id, answer, concat('C', lpad(cast(row_number() over (partition by question_id order by sha<<concat_ws(':', '11', cast(question_id as string), answer)>>, answer) as string), 3, '0')) as candidate_id from pooled"),
+    "array_slates": ("ARR05", "select c.question_id, c.answer as chosen, n.answer as negative, n.rk as place from fused c join gold_answer g on g.question_id = c.question_id and g.gold = c.answer join fused n on n.question_id = c.question_id and n.answer <> c.answer and n.rk <= 5"),
+    "pairs_siblings": ("PAR25", "select a.question_id, a.alias_key as chosen, b.alias_key as rejected from gold_groups a join gold_groups b on a.question_id = b.question_id and a.group_id <> b.group_id where a.group_id <= 2 and b.group_id <= 2"),
+    "pairs_reader": ("PAR30", "select role, count(*) as n, cast(sum(case when answer is null or trim(answer) = '' then 1 else 0 end) as bigint) as incomplete from (select a.role, b.text as answer from conversations a left join conversations b on b.conv_id = a.conv_id and b.turn = a.turn + 1) group by role"),
+    "pairs_with_notes": ("PAR27, PAR28, UDF02", "select p.question_id, p.chosen_id, p.rejected_id, c.o_orderpriority as note, case when c.o_orderpriority = r.o_orderpriority then 'same' else 'different' end as agreement from pairs p join orders c on c.o_orderkey = p.chosen_id join orders r on r.o_orderkey = p.rejected_id"),
+    "pairs_wrong_bank_checks": ("PAR13, SET12", "select question_id, count(*) as rows_in, count(distinct item_key) as surfaces, count(*) = count(distinct item_key) as unique_ok, cast(sum(case when group_id is not null then 1 else 0 end) as bigint) as gold_leaks from matched group by question_id"),
+    "sft_expected": ("SFT10, SFT11, SFT08, ORC14", "select coalesce(e.question_id, g.question_id) as question_id, case when g.question_id is null then 'missing' when e.question_id is null then 'unexpected' else 'present' end as state from (select c_custkey as question_id from customer) e full outer join (select distinct question_id from gold_groups) g on g.question_id = e.question_id"),
+    "boundary_request_grid": ("UDF07, UDF08", "select q.question_id, d.draw, b.n is not null as answered from (select distinct question_id from bank_rank) q join (select distinct draw from bank_rank) d on d.draw is not null left join (select question_id, draw, count(*) as n from bank_rank group by question_id, draw) b on b.question_id = q.question_id and b.draw = d.draw"),
+}
+
+for _name, (_ids, _sql) in RELATIONAL.items():
+    QUERIES[_name] = lambda spark, sf_dir, sql=_sql: run_sql(spark, sf_dir, sql)
+    QUERIES[_name].__doc__ = _ids
+    ORACLE[_name] = for_duckdb(_sql)

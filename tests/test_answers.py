@@ -345,3 +345,53 @@ def test_registry_and_documents(tmp_path):
     assert runner.differences({"a": {"b": 1, "c": 2}, "d": 1}, {"a": {"b": 1, "c": 3}}) == ["a.c", "d"]
     assert runner.set_nested({"a": {"b": 1}}, "a.c.d", 2) == {"a": {"b": 1, "c": {"d": 2}}} and runner.merged({"a": {"b": 1}}, {"a": {"c": 2}}) == {"a": {"b": 1, "c": 2}}
     assert runner.mismatched({"none.txt": "x"}, str(tmp_path)) == ["none.txt"] and "match_greedy_set_f1" in runner.methods()
+
+
+def test_prompts_and_token_distance(spark):
+    from quillrank.functions import prompts as C
+
+    docs = F.array(F.lit("Document: 1\nx  y"), F.lit(""), F.lit("PubMed ID: 2\nz"))
+    plain = C.plain_prompt(F.lit("Do  it"), F.lit("why?"), docs)
+    assert one(spark, plain) == "Do it\n\n# Question: why?\n# PubMed resources: Document: 1\nx y\nPubMed ID: 2\nz\n# Answer:"
+    got = one(spark, C.parse_plain(plain))
+    assert tuple(got) == ("Do it", "why?", ["Document: 1\nx y", "PubMed ID: 2\nz"])
+    assert one(spark, C.parse_plain(F.lit("no marks"))) is None
+    assert one(spark, C.plain_prompt(F.lit("i"), F.lit("q"), F.array().cast("array<string>"), F.lit("a"), "</s>")).endswith("# PubMed resources:\n# Answer: a </s>")
+    chat = one(spark, C.chat_prompt(F.lit("i"), F.lit("q"), F.array(F.lit("r"))))
+    assert chat == "<|begin_of_text|><|start_header_id|>system<|end_header_id|> i<|eot_id|><|start_header_id|>user<|end_header_id|> Question: q PubMed resources: Resource 1: r<|eot_id|><|start_header_id|>assistant<|end_header_id|> Answer:"
+    assert [C.token_edits(a, b) for a, b in (("", ""), ("abc", "abd"), ("abc", ""), ("kitten", "sitting"))] == [0, 1, 3, 3]
+    rows = spark.createDataFrame([(["a", "b"], ["b"]), (None, ["a"])], "a array<string>, b array<string>")
+    assert [r.x for r in rows.select(C.token_distance("a", "b").alias("x")).collect()] == [1, 1]
+
+
+def test_occurrence_labels_and_documents(spark):
+    q = spark.createDataFrame([(1, ["Alpha", ""], [("S1", "the alpha"), ("S2", "alphabet")])], "q long, a array<string>, s array<struct<snippet_id:string,text:string>>")
+    got = {(r.alias, r.snippet_id): (r.hit, r.reason) for r in V.occurrence_labels(q, "q", "a", "s").collect()}
+    assert got == {("Alpha", "S1"): (True, None), ("Alpha", "S2"): (False, "absent"), ("", "S1"): (False, "empty_alias"), ("", "S2"): (False, "empty_alias")}
+    d = spark.createDataFrame([(1, "u", "b", 2), (1, None, "c", 3), (1, "v", "a", 1), (1, "u", "d", 4)], "q long, document string, text string, ord long")
+    assert [(r.document, r.place, r.texts) for r in V.by_document(d, "q").orderBy("place").collect()] == [("v", 1, ["a"]), ("u", 2, ["b", "d"]), ("document_3", 3, ["c"])]
+
+
+@pytest.mark.parametrize("name", ["spans_mine", "equivalence_levels", "numbers_parse"])
+def test_row_queries_equal_plain_loops(spark, name):
+    from quillrank.plans import answers
+
+    folder = "/root/testdata/sf0.001"
+    got = answers.QUERIES[name](spark, folder).collect()
+    if name == "spans_mine":
+        import re
+
+        want = set()
+        for d in spark.read.parquet(f"{folder}/documents.parquet").collect():
+            m = re.match(r"\S+\s+(\S+\s+\S+)", d.text or "")
+            want |= {(d.doc_id, x[0], x[1], x[2]) for x in S.shifted(d.text or "", m[1] if m else "")}
+        assert {(r.doc_id, r.kind, r.text, r.start) for r in got} == want and want
+    elif name == "numbers_parse":
+        rows = spark.read.parquet(f"{folder}/benchmark.parquet").collect()
+        assert {r.item_id: r.numbers for r in got} == {r.item_id: "|".join(format(n.normalize(), "f") for n in M.numbers(r.text)) for r in rows}
+    else:
+        items = {(r.question_id, r.item_key) for r in answers.view(spark, folder, "resp_sets").collect()}
+        gold = {(r.question_id, r.alias_key) for r in answers.view(spark, folder, "gold_groups").collect()}
+        some = {q for q, _ in gold if q % 10 == 0}  # the plain loop's share; the query runs on all
+        want = {(q, i, a, w) for q, i in items if q in some for p, a in gold if p == q and (w := plain_level(i, a))}
+        assert {(r.question_id, r.item_key, r.alias_key, r.level) for r in got if r.question_id in some} == want
