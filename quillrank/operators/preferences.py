@@ -107,7 +107,8 @@ def ranked_sequences(rows: DataFrame, key: str, gold: str, wrong: str, seed: str
 def dominance_pairs(quality: DataFrame, larger: list[str], smaller: list[str], clean: list[str], cap: int = 2, per_question: int = 32) -> DataFrame:
     """Pairs where the chosen response is no worse in any count and better in one; chosen has none of `clean` (PAR20, JON08).
 
-    Only the non-dominated part matters to the cap: the first per_question responses by id enter from each side."""
+    The first per_question responses by id enter from each side, a bound on the self-join: in a larger question pairs
+    of later responses are not looked at."""
     turn = Window.partitionBy("question_id").orderBy("response_id")
     a = quality.where(" and ".join(f"{c} = 0" for c in clean) if clean else "true").withColumn("_n", F.row_number().over(turn)).where(F.col("_n") <= per_question).drop("_n").alias("a")
     b = quality.withColumn("_n", F.row_number().over(turn)).where(F.col("_n") <= per_question).drop("_n").alias("b")
