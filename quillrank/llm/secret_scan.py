@@ -24,7 +24,8 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _DIGEST = re.compile(r"(?:sha(?:1|224|256|384|512)|md5)?-?(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.I)
 _UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.I)
 #: Numbers, and words joined as names are: camel case, dashes, underlines, slashes, a number at the end.
-_NAME = re.compile(r"[0-9+/_=-]+|[+/_=-]*(?:[A-Z]?[a-z]{3,}|[A-Z]{2,12}|[a-z]{1,2})(?:[+/_=-]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,12}))*[0-9]{0,4}[+/_=-]*")
+#: Possessive, so that a long string is read once.
+_NAME = re.compile(r"[0-9+/_=-]++|[+/_=-]*+(?:[a-z]++|[A-Z][a-z]{3,}+|[A-Z]{2,}+)(?:[+/_=-]*+(?:[A-Z]*+[a-z]{2,}+|[A-Z]{2,}+))*+[0-9]{0,4}+[+/_=-]*+")
 _encode: list = []
 
 
@@ -59,10 +60,13 @@ def is_random(string: str) -> bool:
 
 
 def random_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Random strings that don't meet a base span."""
-    out = []
+    """Random strings that don't meet a base span (those come by start)."""
+    out, i, reach = [], 0, 0
     for m in _CANDIDATE.finditer(text):
-        if not any(a < m.end() and m.start() < b for a, b, _ in base) and is_random(m[0]):
+        while i < len(base) and base[i][0] < m.end():
+            reach = max(reach, base[i][1])
+            i += 1
+        if reach <= m.start() and is_random(m[0]):
             out.append((m.start(), m.end(), "random"))
     return out
 

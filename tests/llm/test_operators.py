@@ -161,6 +161,15 @@ def test_random_strings(text, random):
     assert secret_scan.is_random(text) is random
 
 
+def test_long_strings():
+    """Time grows with the length: names of a million letters that end as no name does, and many spans beside many strings."""
+    for long in ("a" * 1_000_000 + "12345", "A" * 1_000_000 + "12345", "ab_" * 300_000 + "12345"):
+        assert not secret_scan._NAME.fullmatch(long)
+    text = "0123456789abcdef01 ghp_16C7e42F292c6912E7710c838347Ae178B4a " * 5000
+    base = secret_scan.base_spans(text)
+    assert len(base) == len(secret_scan.random_spans(text, base)) == 5000
+
+
 def test_language(spark, docs, none):
     letters = {"xx": "aeio", "yy": "brst", "zz": "мнкл"}
     draw = np.random.default_rng(0)
