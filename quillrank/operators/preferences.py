@@ -1,6 +1,7 @@
 """Constructors of preference pairs beyond whole responses: single edits, judged classes, ranked sequences, dominance.
 
-Every constructor ranks and caps within a question before it joins a question with itself."""
+A cap is on what a question gives, never on what is looked at: before a question is joined with itself, rows that
+can't be in the result are told from the order alone."""
 
 from __future__ import annotations
 
@@ -9,7 +10,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import safe_ratio
+from .ranking import hash_order, hash_rank, safe_ratio
 
 
 def f1_of(tp: Column, n_pred: Column, n_gold: Column) -> Column:
@@ -77,10 +78,14 @@ def judged_slates(candidates: DataFrame, gold: DataFrame | None = None) -> DataF
     return rows.groupBy("question_id", "answer_key").agg(F.max("class").alias("class"), F.min("injected").alias("injected"))
 
 
-def class_pairs(slates: DataFrame, per_class: int = 8) -> DataFrame:
-    """All pairs of a better over a worse class; each class enters with its first per_class answers by hash (PAR09, PAR10, PAR22)."""
-    turn = Window.partitionBy("question_id", "class").orderBy(F.sha2(F.concat_ws(":", F.col("question_id").cast("string"), "answer_key"), 256), "answer_key")
-    some = slates.withColumn("_n", F.row_number().over(turn)).where(F.col("_n") <= per_class)
+def class_pairs(slates: DataFrame, per_class: int | None = None) -> DataFrame:
+    """All pairs of a better over a worse class (PAR09, PAR10, PAR22); slates hold an answer of a question once.
+
+    With per_class, a sample: each class enters with so many answers, the first by hash."""
+    some = slates
+    if per_class:
+        turn = Window.partitionBy("question_id", "class").orderBy(F.sha2(F.concat_ws(":", F.col("question_id").cast("string"), "answer_key"), 256), "answer_key")
+        some = slates.withColumn("_n", F.row_number().over(turn)).where(F.col("_n") <= per_class)
     side = lambda s: some.select("question_id", F.col("answer_key").alias(s), F.col("class").alias(f"{s}_class"))
     pairs = side("chosen").join(side("rejected"), "question_id").where("chosen_class > rejected_class")
     return pairs.withColumn("stage", F.concat_ws(">", "chosen_class", "rejected_class"))
@@ -91,12 +96,8 @@ def ranked_sequences(rows: DataFrame, key: str, gold: str, wrong: str, seed: str
 
     Ranks 2 to 5 go round the questions in hash order, so each is used equally often up to one."""
     rows = rows.where(F.size(wrong) == 4)
-    order = rows.select(key, F.sha2(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")), 256).alias("_h"))
-    # a global row number over keys alone, from counts of hash prefixes: no single task sorts all questions
-    order = order.withColumn("_b", F.substring("_h", 1, 3))
-    inside = order.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)))
-    base = order.groupBy("_b").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = inside.join(F.broadcast(base), "_b").select(key, (2 + (F.col("_before") + F.col("_i") - 1) % 4).cast("int").alias("rejected_rank"))
+    turn = hash_rank(rows.select(key), hash_order(seed, key), key)
+    ranked = turn.select(key, (2 + (F.col("rn") - 1) % 4).cast("int").alias("rejected_rank"))
     orders = F.array(*[F.struct(F.lit(i).alias("permutation"), F.array(*map(F.lit, p)).alias("places")) for i, p in enumerate(permutations(range(4)), 1)])
     out = rows.join(ranked, key).select(key, F.col(gold).alias("_g"), F.col(wrong).alias("_w"), "rejected_rank", F.inline(orders))
     listed = F.transform("places", lambda i: F.get(F.col("_w"), i))
@@ -104,21 +105,25 @@ def ranked_sequences(rows: DataFrame, key: str, gold: str, wrong: str, seed: str
     return out.select(key, "permutation", "rejected_rank", F.concat(F.array("_g"), listed).alias("preferred"), worse.alias("rejected"), (1.0 / F.col("rejected_rank")).alias("rejected_mrr"))
 
 
-def dominance_pairs(quality: DataFrame, larger: list[str], smaller: list[str], clean: list[str], cap: int = 2, per_question: int = 32) -> DataFrame:
+def dominance_pairs(quality: DataFrame, larger: list[str], smaller: list[str], clean: list[str], cap: int = 2) -> DataFrame:
     """Pairs where the chosen response is no worse in any count and better in one; chosen has none of `clean` (PAR20, JON08).
 
-    The first per_question responses by id enter from each side, a bound on the self-join: in a larger question pairs
-    of later responses are not looked at."""
-    turn = Window.partitionBy("question_id").orderBy("response_id")
-    a = quality.where(" and ".join(f"{c} = 0" for c in clean) if clean else "true").withColumn("_n", F.row_number().over(turn)).where(F.col("_n") <= per_question).drop("_n").alias("a")
-    b = quality.withColumn("_n", F.row_number().over(turn)).where(F.col("_n") <= per_question).drop("_n").alias("b")
+    A question gives its cap first pairs by (smaller id, larger id).  Dominance follows from the counts alone, so
+    responses of equal counts meet as one row with their cap first ids: a pair of a later id has cap pairs before it."""
+    counts = list(dict.fromkeys([*larger, *smaller, *clean]))
+    turn = Window.partitionBy("question_id", *counts).orderBy("response_id")
+    first = quality.select("question_id", "response_id", *counts).withColumn("_n", F.row_number().over(turn)).where(F.col("_n") <= cap)
+    alike = first.groupBy("question_id", *counts).agg(F.collect_list("response_id").alias("ids"))
+    a = alike.where(" and ".join(f"{c} = 0" for c in clean) if clean else "true").alias("a")
+    b = alike.alias("b")
     no_worse, better = F.lit(True), F.lit(False)
     for names, sign in ((larger, 1), (smaller, -1)):
         for c in names:
             gap = sign * (F.col(f"a.{c}") - F.col(f"b.{c}"))
             no_worse, better = no_worse & (gap >= 0), better | (gap > 0)
     pairs = a.join(b, (F.col("a.question_id") == F.col("b.question_id")) & no_worse & better)
-    rows = pairs.select(F.col("a.question_id").alias("question_id"), F.col("a.response_id").alias("chosen_id"), F.col("b.response_id").alias("rejected_id"))
+    rows = pairs.select(F.col("a.question_id").alias("question_id"), F.explode("a.ids").alias("chosen_id"), F.col("b.ids").alias("ids"))
+    rows = rows.select("question_id", "chosen_id", F.explode("ids").alias("rejected_id"))
     return _capped(rows, cap, F.least("chosen_id", "rejected_id"), F.greatest("chosen_id", "rejected_id"))
 
 

@@ -32,13 +32,17 @@ def response_rank() -> list[Column]:
     return [F.col("f1").desc(), F.col("p").desc(), F.col("r").desc(), F.col("n_pred").asc(), F.col("response_id").asc()]
 
 
-def whole_response_pairs(metrics: DataFrame, per_question: int = 8, least_gain: float = 0.1, cap: int = 5) -> DataFrame:
-    """Chosen and rejected responses of a question: the best per_question by rank, all ordered pairs with an F1 gain of
-    least_gain, the cap largest gains.  The first step bounds the self-join whatever the size of a question."""
-    ranked = metrics.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(*response_rank()))).where(F.col("rank") <= per_question)
+def whole_response_pairs(metrics: DataFrame, least_gain: float = 0.1, cap: int = 5) -> DataFrame:
+    """Chosen and rejected responses of a question: of all pairs with an F1 gain of least_gain, the cap largest gains.
+
+    A pair whose chosen response is not among the cap best has cap pairs before it with the same rejected response,
+    and likewise for the cap worst, so those two ends hold all the pairs wanted and a question joins cap with cap rows."""
+    turn = Window.partitionBy("question_id")
+    ranked = metrics.withColumn("rank", F.row_number().over(turn.orderBy(*response_rank())))
+    worst = ranked.withColumn("last", F.row_number().over(turn.orderBy(F.round("f1", 9), "rank"))).where(F.col("last") <= cap)
     fields = ["response_id", "f1", "p", "r", "n_pred", "rank"]
-    a = ranked.select("question_id", *[F.col(c).alias(f"chosen_{c}") for c in fields])
-    b = ranked.select("question_id", *[F.col(c).alias(f"rejected_{c}") for c in fields])
+    a = ranked.where(F.col("rank") <= cap).select("question_id", *[F.col(c).alias(f"chosen_{c}") for c in fields])
+    b = worst.select("question_id", *[F.col(c).alias(f"rejected_{c}") for c in fields])
     pairs = a.join(b, "question_id").where((F.col("chosen_rank") < F.col("rejected_rank")) & (F.col("chosen_f1") - F.col("rejected_f1") >= least_gain))
     pairs = pairs.withColumn("gain", F.round(F.col("chosen_f1") - F.col("rejected_f1"), 9))
     order = Window.partitionBy("question_id").orderBy(F.col("gain").desc(), "chosen_rank", "rejected_rank")
@@ -88,6 +92,28 @@ def wilson(successes: Column, n: Column, z: float = 1.959963984540054) -> tuple[
     return (middle - spread) / (1 + z * z / n), (middle + spread) / (1 + z * z / n)
 
 
+def global_rank(df: DataFrame, bucket: Column, *order: str | Column, within: tuple[str, ...] = (), name: str = "rn") -> DataFrame:
+    """df with the number of each row in the order of (bucket, order) over all rows, or over those equal in `within`.
+
+    The bucket is a coarse form of the order, with a bound on its values (hash prefixes, steps of a length): rows are
+    numbered in their bucket, and only one count a bucket is added up in one place."""
+    keyed = df.withColumn("_bucket", bucket)
+    inside = keyed.withColumn("_inside", F.row_number().over(Window.partitionBy(*within, "_bucket").orderBy(*order)))
+    before = Window.partitionBy(*within).orderBy(F.col("_bucket").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)  # one row a bucket
+    counts = keyed.groupBy(*within, "_bucket").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    base = counts.select(*[F.col(c).alias(f"_key{i}") for i, c in enumerate((*within, "_bucket"))], "_before")
+    same = F.lit(True)
+    for i, c in enumerate((*within, "_bucket")):
+        same = same & F.col(c).eqNullSafe(F.col(f"_key{i}"))
+    joined = inside.join(base if within else F.broadcast(base), same)
+    return joined.withColumn(name, F.col("_before") + F.col("_inside")).select(*df.columns, name)
+
+
+def hash_rank(df: DataFrame, hashed: Column, *ties: str, within: tuple[str, ...] = (), name: str = "rn") -> DataFrame:
+    """global_rank by a hexadecimal hash: 4096 prefixes are the buckets."""
+    return global_rank(df.withColumn("_hash", hashed), F.substring("_hash", 1, 3), "_hash", *ties, within=within, name=name).drop("_hash")
+
+
 def hash_order(seed: str, *columns: str) -> Column:
     return F.sha2(F.concat_ws(":", F.lit(seed), *[F.col(c).cast("string") for c in columns]), 256)
 
@@ -100,5 +126,4 @@ def largest_remainder(df: DataFrame, key: str, stratum: str, ratio: float, seed:
     left = F.col("total") - F.sum("floor").over(everything)
     turn = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.round(F.col("n") * ratio - F.col("floor"), 9).desc(), stratum))
     quota = quota.withColumn("left", left).withColumn("quota", F.col("floor") + (turn <= F.col("left")).cast("int")).select(stratum, "quota")
-    place = Window.partitionBy(stratum).orderBy(hash_order(seed, key), key)
-    return df.withColumn("place", F.row_number().over(place)).join(quota, stratum).withColumn("held", F.col("place") <= F.col("quota")).drop("place", "quota")
+    return hash_rank(df, hash_order(seed, key), key, within=(stratum,), name="place").join(quota, stratum).withColumn("held", F.col("place") <= F.col("quota")).drop("place", "quota")

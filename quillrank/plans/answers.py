@@ -19,6 +19,7 @@ from ..functions.text import clean_text, loose_key, serialize_items
 from ..operators import evidence as V
 from ..operators import learned as L
 from ..operators import preferences as P
+from ..operators import ranking as R
 from .views import for_duckdb, run_sql
 
 QUERIES: dict = {}
@@ -202,7 +203,7 @@ def pairs_substitution(spark, sf_dir):
 _CLASS = "select question_id, item_key as answer_key, max(case when group_id is null then 'C1' when group_id <= 2 then 'C3' else 'C2' end) as class from matched where item_ord <> 7 group by question_id, item_key"
 
 
-@entry("pairs_class_slates", f"with s as ({_CLASS}), n as (select *, row_number() over (partition by question_id, class order by sha<<concat_ws(':', cast(question_id as varchar), answer_key)>>, answer_key) as k from s) select a.question_id, a.answer_key as chosen, b.answer_key as rejected, a.class as chosen_class, b.class as rejected_class, a.class || '>' || b.class as stage from n a join n b on a.question_id = b.question_id and a.class > b.class and a.k <= 8 and b.k <= 8")
+@entry("pairs_class_slates", f"with s as ({_CLASS}), n as (select * from s) select a.question_id, a.answer_key as chosen, b.answer_key as rejected, a.class as chosen_class, b.class as rejected_class, a.class || '>' || b.class as stage from n a join n b on a.question_id = b.question_id and a.class > b.class")
 def pairs_class_slates(spark, sf_dir):
     """PAR09, PAR10, PAR22, PAR26: judged classes, uncertain rows left out, better over worse."""
     judged = F.when(F.col("item_ord") == 7, "UNCERTAIN").when(F.col("group_id").isNull(), "C1").when(F.col("group_id") <= 2, "C3").otherwise("C2")
@@ -223,7 +224,7 @@ def pairs_ranked_sequences(spark, sf_dir):
     return out.withColumn("preferred", F.array_join("preferred", "|")).withColumn("rejected", F.array_join("rejected", "|"))
 
 
-@entry("pairs_dominance", "with q as (select question_id, response_id, cast(tp as bigint) as good, cast(n_pred - tp as bigint) as bad, row_number() over (partition by question_id order by response_id) as n from metrics), c as (select *, row_number() over (partition by question_id order by response_id) as m from q where bad = 0) select * from (select a.question_id, a.response_id as chosen_id, b.response_id as rejected_id, row_number() over (partition by a.question_id order by least(a.response_id, b.response_id), greatest(a.response_id, b.response_id)) as pair_rank from c a join q b on a.question_id = b.question_id and a.m <= 32 and b.n <= 32 and a.good >= b.good and (a.good > b.good or b.bad > 0)) where pair_rank <= 2")
+@entry("pairs_dominance", "with q as (select question_id, response_id, cast(tp as bigint) as good, cast(n_pred - tp as bigint) as bad from metrics), c as (select * from q where bad = 0) select * from (select a.question_id, a.response_id as chosen_id, b.response_id as rejected_id, row_number() over (partition by a.question_id order by least(a.response_id, b.response_id), greatest(a.response_id, b.response_id)) as pair_rank from c a join q b on a.question_id = b.question_id and a.good >= b.good and (a.good > b.good or b.bad > 0)) where pair_rank <= 2")
 def pairs_dominance(spark, sf_dir):
     """PAR20, JON08, PAR24."""
     q = view(spark, sf_dir, "metrics").select("question_id", "response_id", F.col("tp").cast("long").alias("good"), (F.col("n_pred") - F.col("tp")).cast("long").alias("bad"))
@@ -369,12 +370,29 @@ def agg_form_audit(spark, sf_dir):
     return forms_classify(spark, sf_dir).groupBy("form").agg(F.count("*").alias("n"), F.countDistinct("p_partkey").alias("parts"))
 
 
+@entry("split_nested", "select question_id, case when rn <= floor(n * 0.1e0) then 'test' when rn <= floor(n * 0.2e0) then 'dev' else 'train' end as split from (select question_id, row_number() over (order by sha<<concat_ws(':', '7', cast(question_id as string))>>, question_id) as rn, count(*) over () as n from (select distinct question_id from gold_groups))")
+def split_nested(spark, sf_dir):
+    """SPL03, SPL06, SPL12."""
+    q = view(spark, sf_dir, "gold_groups").select("question_id").distinct()
+    ranked = R.hash_rank(q, R.hash_order("7", "question_id"), "question_id").join(q.agg(F.count("*").alias("n")))  # one row
+    part = F.when(F.col("rn") <= F.floor(F.col("n") * 0.1), "test").when(F.col("rn") <= F.floor(F.col("n") * 0.2), "dev").otherwise("train")
+    return ranked.select("question_id", part.alias("split"))
+
+
+@entry("window_model_balanced", "with q as (select question_id, concat('m', cast((row_number() over (order by sha<<cast(question_id as string)>>, question_id) - 1) % 3 as string)) as model from (select distinct question_id from bank_rank)) select question_id, model, answer from (select q.question_id, q.model, p.answer, row_number() over (partition by q.question_id order by p.src_rank, p.answer) as rn from q join per_model p on p.question_id = q.question_id and p.model = q.model) where rn = 1")
+def window_model_balanced(spark, sf_dir):
+    """WIN13: models in turn over the questions in hash order."""
+    q = view(spark, sf_dir, "bank_rank").select("question_id").distinct()
+    turn = R.hash_rank(q, F.sha2(F.col("question_id").cast("string"), 256), "question_id")
+    turn = turn.select("question_id", F.concat(F.lit("m"), ((F.col("rn") - 1) % 3).cast("string")).alias("model"))
+    first = view(spark, sf_dir, "per_model").groupBy("question_id", "model").agg(F.min(F.struct("src_rank", "answer")).alias("f"))
+    return turn.join(first, ["question_id", "model"]).select("question_id", "model", F.col("f.answer").alias("answer"))
+
+
 #: name -> (blueprint IDs, one statement for both engines)
 RELATIONAL = {
-    "split_nested": ("SPL03, SPL06, SPL12", "select question_id, case when rn <= floor(n * 0.1e0) then 'test' when rn <= floor(n * 0.2e0) then 'dev' else 'train' end as split from (select question_id, row_number() over (order by sha<<concat_ws(':', '7', cast(question_id as string))>>, question_id) as rn, count(*) over () as n from (select distinct question_id from gold_groups))"),
     "split_panel": ("SPL13", "select id, stratum from (select c_custkey as id, c_mktsegment as stratum, row_number() over (partition by c_mktsegment order by sha<<concat_ws(':', '9', cast(c_custkey as string))>>, c_custkey) as rn from customer) where rn <= 20"),
     "split_distractor": ("SPL17", "select id, stratum, coalesce(following, first_id) as distractor from (select c_custkey as id, c_mktsegment as stratum, lead(c_custkey) over (partition by c_mktsegment order by sha<<cast(c_custkey as string)>>, c_custkey) as following, first_value(c_custkey) over (partition by c_mktsegment order by sha<<cast(c_custkey as string)>>, c_custkey) as first_id from customer)"),
-    "window_model_balanced": ("WIN13", "with q as (select question_id, concat('m', cast((row_number() over (order by sha<<cast(question_id as string)>>, question_id) - 1) % 3 as string)) as model from (select distinct question_id from bank_rank)) select question_id, model, answer from (select q.question_id, q.model, p.answer, row_number() over (partition by q.question_id order by p.src_rank, p.answer) as rn from q join per_model p on p.question_id = q.question_id and p.model = q.model) where rn = 1"),
     "window_random_first": ("WIN15", "select question_id, response_id from (select question_id, response_id, row_number() over (partition by question_id order by sha<<concat_ws(':', '31', cast(response_id as string))>>, response_id) as rn from metrics) where rn = 1"),
     "window_snippet_frequency": ("WIN17", "select question_id, item_key, snippets, row_number() over (partition by question_id order by snippets desc, item_key) as place from (select question_id, item_key, count(distinct response_id) as snippets from resp_sets group by question_id, item_key)"),
     "agg_sorted_counts": ("AGG02", "select event_type, n, row_number() over (order by n desc, event_type) as place from (select event_type, count(*) as n from events group by event_type)"),

@@ -196,6 +196,50 @@ def split_hash_fold(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", P.hash_fold(F.col("c_custkey")).alias("fold"), P.draw_seed(F.col("c_custkey"), F.lit(0)).alias("seed"))
 
 
+@entry("sort_global_cap", "select question_id, chosen_id, rejected_id from (select *, row_number() over (order by gain desc, chosen_id, rejected_id) as rn, count(*) over () as n from pairs) where rn <= greatest(1, round(0.1e0 * n))")
+def sort_global_cap(spark, sf_dir):
+    """SRT01, SRT02, SRT04: the largest tenth of all gains, by 4096 steps of the gain."""
+    pairs = view(spark, sf_dir, "pairs").select("question_id", "chosen_id", "rejected_id", "gain")
+    ranked = R.global_rank(pairs, -F.floor(F.col("gain") * 4096), F.col("gain").desc(), "chosen_id", "rejected_id")
+    most = pairs.agg(F.greatest(F.lit(1.0), F.round(F.count("*") * 0.1)).alias("most"))  # one row
+    return ranked.join(most, F.col("rn") <= F.col("most")).select("question_id", "chosen_id", "rejected_id")
+
+
+@entry("split_balance_classes", "select arm, ord from (select *, min(n) over () as target from (select arm, ord, count(*) over (partition by arm) as n, row_number() over (partition by arm order by sha<<cast(ord as string)>>) as rn from event_arm)) where rn <= target")
+def split_balance_classes(spark, sf_dir):
+    """SPL07: as many rows of each class as the smallest has, first by hash."""
+    rows = view(spark, sf_dir, "event_arm").select("arm", "ord")
+    least = rows.groupBy("arm").count().agg(F.min("count").alias("target"))  # one row
+    ranked = R.hash_rank(rows, F.sha2(F.col("ord").cast("string"), 256), within=("arm",))
+    return ranked.join(least, F.col("rn") <= F.col("target")).select("arm", "ord")
+
+
+@entry("sort_longest_first", "select doc_id, rn from (select doc_id, row_number() over (order by length(text) desc, doc_id) as rn from documents)")
+def sort_longest_first(spark, sf_dir):
+    """SRT09: by 64 steps for each doubling of the length."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("length"))
+    step = -F.floor(64 * F.log2(F.col("length") + F.lit(1)))
+    return R.global_rank(docs, step, F.col("length").desc(), "doc_id").select("doc_id", "rn")
+
+
+@entry("split_by_question", "with h as (select question_id, row_number() over (order by sha<<concat_ws(':', '3', cast(question_id as string))>>) as rn, count(*) over () as n from (select distinct question_id from gold_groups)) select g.question_id, g.alias_key, rn <= greatest(1, least(n - 1, round(n * 0.2e0))) as dev from gold_groups g join h on h.question_id = g.question_id")
+def split_by_question(spark, sf_dir):
+    """SPL02, SPL04, SPL05."""
+    gold = view(spark, sf_dir, "gold_groups")
+    q = gold.select("question_id").distinct()
+    dev = F.col("rn") <= F.greatest(F.lit(1), F.least(F.col("n") - 1, F.round(F.col("n") * 0.2)))
+    ranked = R.hash_rank(q, R.hash_order("3", "question_id")).join(q.agg(F.count("*").alias("n")))  # one row
+    return gold.join(ranked.select("question_id", dev.alias("dev")), "question_id").select("question_id", "alias_key", "dev")
+
+
+@entry("window_boundary_audit", "select question_id, chosen_id, rejected_id from (select *, row_number() over (order by gain, chosen_id, rejected_id) as near, row_number() over (order by sha<<concat_ws(':', cast(chosen_id as string), cast(rejected_id as string))>>) as rnd from pairs) where near <= 20 or rnd <= 20")
+def window_boundary_audit(spark, sf_dir):
+    """WIN18: the 20 smallest gains, and 20 by hash."""
+    pairs = view(spark, sf_dir, "pairs").select("question_id", "chosen_id", "rejected_id", "gain")
+    hashed = F.sha2(F.concat_ws(":", F.col("chosen_id").cast("string"), F.col("rejected_id").cast("string")), 256)
+    return pairs.orderBy("gain", "chosen_id", "rejected_id").limit(20).union(pairs.orderBy(hashed).limit(20)).drop("gain").distinct()
+
+
 #: name -> (blueprint IDs, one statement for both engines)
 RELATIONAL = {
     "scan_first_key": ("SRC08, SET09, SET14, WIN21", "select question_id, item_key, response_id, dup from (select question_id, item_key, response_id, count(*) over (partition by question_id, item_key) as dup, row_number() over (partition by question_id, item_key order by response_id, item_ord, tie) as rn from resp_items) where rn = 1"),
@@ -217,14 +261,14 @@ RELATIONAL = {
     "filter_membership": ("FLT21, SET04", "select s.question_id, m.model, b.question_id is not null as present from (select distinct question_id from bank_rank) s join (select distinct model from bank_rank) m on m.model is not null left join (select distinct question_id, model from bank_rank) b on b.question_id = s.question_id and b.model = m.model"),
     "filter_failures_kept": ("FLT22, MET04", "select c_custkey as question_id, coalesce(n, 0) as responses from customer left join (select o_custkey, count(*) as n from orders group by o_custkey) o on o_custkey = c_custkey"),
     "filter_quality_vector": ("FLT16", "select response_id, count(*) as items, cast(sum(case when hit then 1 else 0 end) as bigint) as accepted, cast(sum(case when group_id is null then 1 else 0 end) as bigint) as incorrect, cast(sum(case when group_id is not null and not hit then 1 else 0 end) as bigint) as repeated from matched group by response_id"),
-    "filter_alignment": ("FLT13, ENS19", "select question_id, chosen_id, rejected_id, round(score, 6) as score from (select *, row_number() over (partition by question_id order by round(score, 6) desc, chosen_id, rejected_id) as rn from (select *, (gain - avg(gain) over ()) / stddev_pop(gain) over () - (abs(chosen_n - rejected_n) - avg(abs(chosen_n - rejected_n)) over ()) / stddev_pop(abs(chosen_n - rejected_n)) over () as score from pairs)) where rn <= 2"),
+    "filter_alignment": ("FLT13, ENS19", "with m as (select avg(gain) as g, stddev_pop(gain) as gs, avg(abs(chosen_n - rejected_n)) as e, stddev_pop(abs(chosen_n - rejected_n)) as es from pairs) select question_id, chosen_id, rejected_id, round(score, 6) as score from (select *, row_number() over (partition by question_id order by round(score, 6) desc, chosen_id, rejected_id) as rn from (select *, (gain - g) / gs - (abs(chosen_n - rejected_n) - e) / es as score from pairs join m on true)) where rn <= 2"),
     "join_bank_questions": ("JON01", "select o_custkey as question_id, checkpoint, count(distinct response_id) as responses from resp_items join orders on o_orderkey = response_id group by o_custkey, checkpoint"),
     "join_score_margin": ("JON03, JON04, JON06", "select p.question_id, chosen_id, rejected_id, round(c.o_totalprice - r.o_totalprice, 2) as margin from pairs p join orders c on c.o_orderkey = chosen_id join orders r on r.o_orderkey = rejected_id"),
     "join_positional": ("JON05", "select a.question_id, a.rk, a.answer as first_answer, b.response_id from fused a join ranked b on a.question_id = b.question_id and a.rk = b.rk where a.rk <= 3"),
-    "join_pareto": ("JON08, PAR20", "select question_id, count(*) as dominated from (select a.question_id, a.response_id as x, b.response_id as y from ranked a join ranked b on a.question_id = b.question_id and a.response_id <> b.response_id where a.rk <= 8 and b.rk <= 8 and a.p >= b.p and a.r >= b.r and (a.p > b.p or a.r > b.r)) group by question_id"),
-    "join_permutations": ("JON09, JON10", "select a.question_id, a.response_id as x, b.response_id as y from ranked a join ranked b on a.question_id = b.question_id and a.response_id <> b.response_id where a.rk <= 4 and b.rk <= 4 and a.tp > b.tp and a.n_pred <= b.n_pred"),
+    "join_pareto": ("JON08, PAR20", "select question_id, count(*) as dominated from (select a.question_id, a.response_id as x, b.response_id as y from ranked a join ranked b on a.question_id = b.question_id and a.response_id <> b.response_id where a.p >= b.p and a.r >= b.r and (a.p > b.p or a.r > b.r)) group by question_id"),
+    "join_permutations": ("JON09, JON10", "select a.question_id, a.response_id as x, b.response_id as y from ranked a join ranked b on a.question_id = b.question_id and a.response_id <> b.response_id where a.tp > b.tp and a.n_pred <= b.n_pred"),
     "join_hard_negatives": ("JON11, JON10, WIN07, PAR14", "with neg as (select question_id, item_key, n, row_number() over (partition by question_id order by n desc, item_key) as rn from (select question_id, item_key, count(*) as n from matched where group_id is null group by question_id, item_key)) select g.question_id, g.alias_key as positive, item_key as negative, rn from gold_groups g join neg on neg.question_id = g.question_id where rn <= 3"),
-    "join_best_match": ("JON12, WIN08", "select question_id, shorter, longer from (select a.question_id, a.response_id as shorter, b.response_id as longer, row_number() over (partition by a.question_id order by abs(a.f1 - b.f1), abs(a.r - b.r), b.n_pred - a.n_pred, a.response_id, b.response_id) as rn from ranked a join ranked b on a.question_id = b.question_id and a.n_pred < b.n_pred where a.rk <= 8 and b.rk <= 8) where rn = 1"),
+    "join_best_match": ("JON12, WIN08", "select question_id, shorter, longer from (select a.question_id, a.response_id as shorter, b.response_id as longer, row_number() over (partition by a.question_id order by abs(a.f1 - b.f1), abs(a.r - b.r), b.n_pred - a.n_pred, a.response_id, b.response_id) as rn from ranked a join ranked b on a.question_id = b.question_id and a.n_pred < b.n_pred) where rn = 1"),
     "join_outer_compare": ("JON15", "with a as (select question_id, count(distinct answer) as n from bank_rank where model = 'm0' group by question_id), b as (select question_id, count(distinct answer) as n from bank_rank where model = 'm1' group by question_id) select coalesce(a.question_id, b.question_id) as question_id, a.n as left_n, b.n as right_n from a full outer join b on a.question_id = b.question_id where a.n is distinct from b.n"),
     "join_paired_transitions": ("JON16, JON17, ENS18", "with s as (select question_id, max(case when arm = 'click' then mean_score end) as a, max(case when arm = 'view' then mean_score end) as b from arm_means group by question_id) select case when a > 50 and b > 50 then 'both' when a > 50 then 'lost' when b > 50 then 'gained' else 'neither' end as outcome, count(*) as questions from s where a is not null and b is not null group by 1"),
     "join_upsert": ("JON21", "select coalesce(a.question_id, b.question_id) as question_id, coalesce(a.alias_key, b.item_key) as item_key, case when a.alias_key is null then 'inserted' when b.item_key is null then 'kept' else 'updated' end as action from gold_groups a full outer join (select distinct question_id, item_key from resp_items where checkpoint = 'c1') b on a.question_id = b.question_id and a.alias_key = b.item_key"),
@@ -258,13 +302,10 @@ RELATIONAL = {
     "window_construction_robin": ("WIN10, WIN11, PAR22", "select question_id, checkpoint, response_id from (select *, row_number() over (partition by question_id order by turn, checkpoint) as pos from (select *, row_number() over (partition by question_id, checkpoint order by f1 desc, response_id) as turn from metrics)) where pos <= 4"),
     "window_balanced_sample": ("WIN12, SRT05, SPL08", "select question_id, response_id, turn from (select question_id, response_id, row_number() over (partition by question_id order by sha<<concat_ws(':', '5', cast(response_id as string))>>, response_id) as turn from metrics) where turn <= 2"),
     "window_best_epoch": ("WIN16", "select checkpoint, n_pred as epoch, f1 from (select checkpoint, n_pred, round(avg(f1), 9) as f1, row_number() over (partition by checkpoint order by round(avg(f1), 9) desc, n_pred) as rn from metrics group by checkpoint, n_pred) where rn = 1"),
-    "window_boundary_audit": ("WIN18", "select question_id, chosen_id, rejected_id from (select *, row_number() over (order by gain, chosen_id, rejected_id) as near, row_number() over (order by sha<<concat_ws(':', cast(chosen_id as string), cast(rejected_id as string))>>) as rnd from pairs) where near <= 20 or rnd <= 20"),
     "window_rank_blend": ("WIN20", "select question_id, answer, row_number() over (partition by question_id order by round(0.4e0 / a + 0.6e0 / b, 12) desc, answer) as rk from (select question_id, answer, row_number() over (partition by question_id order by round(rank_vote, 9) desc, answer) as a, row_number() over (partition by question_id order by votes desc, best_rank, answer) as b from pooled)"),
     "window_self_consistency": ("WIN22, WIN21", "select question_id, item_key from (select question_id, item_key, row_number() over (partition by question_id order by count(*) desc, min(response_id), item_key) as rn from resp_items group by question_id, item_key) where rn = 1"),
-    "sort_global_cap": ("SRT01, SRT02, SRT04", "select question_id, chosen_id, rejected_id from (select *, row_number() over (order by gain desc, chosen_id, rejected_id) as rn, count(*) over () as n from pairs) where rn <= greatest(1, round(0.1e0 * n))"),
-    "sort_distinct_window": ("SRT03", "select question_id from (select question_id, row_number() over (order by min(ord), question_id) as rn from bank_rank group by question_id) where rn > 20 and rn <= 60"),
+    "sort_distinct_window": ("SRT03", "select question_id from (select question_id, min(ord) as first from bank_rank group by question_id) order by first, question_id limit 40 offset 20"),
     "sort_form_priority": ("SRT07, SRT08", "select question_id, arm, ord from (select *, row_number() over (partition by question_id order by case arm when 'purchase' then 0 when 'click' then 1 else 2 end, ord) as rn from event_arm) where rn <= 3"),
-    "sort_longest_first": ("SRT09", "select doc_id, rn from (select doc_id, row_number() over (order by length(text) desc, doc_id) as rn from documents)"),
     "set_union_dedupe": ("SET01, SET15", "select question_id, item_key, count(distinct checkpoint) as origins from resp_items group by question_id, item_key"),
     "set_frequency_fallback": ("SET02, ENS01", "with f as (select question_id, item_key, count(distinct response_id) as n from resp_items group by question_id, item_key), m as (select question_id, max(n) as most from f group by question_id) select f.question_id, f.item_key from f join m on m.question_id = f.question_id where n >= 3 or most < 3"),
     "set_leakage": ("SET03, FLT19", "select count(*) as shared from (select question_id from bank_rank where question_id % 2 = 0 intersect select question_id from bank_rank where question_id % 2 = 1)"),
@@ -272,9 +313,7 @@ RELATIONAL = {
     "join_pair_chains": ("extension", "select count(*) as subsets from pairs a join pairs b on a.question_id = b.question_id and a.chosen_id = b.rejected_id"),
     "array_min_ranks": ("ARR10, ARR11", "select question_id, answer, model, src_rank as min_rank from per_model"),
     "array_window_merge": ("ARR12, ARR13", "select conv_id, cast(floor((turn - w) / 2) as bigint) as window_id, count(*) as turns from (select c.conv_id, c.turn, v.w from conversations c join (select 0 as w union all select 1 as w) v on true) group by conv_id, cast(floor((turn - w) / 2) as bigint)"),
-    "split_by_question": ("SPL02, SPL04, SPL05", "with h as (select question_id, row_number() over (order by sha<<concat_ws(':', '3', cast(question_id as string))>>) as rn, count(*) over () as n from (select distinct question_id from gold_groups)) select g.question_id, g.alias_key, rn <= greatest(1, least(n - 1, round(n * 0.2e0))) as dev from gold_groups g join h on h.question_id = g.question_id"),
-    "split_balance_classes": ("SPL07", "select arm, ord from (select *, min(n) over () as target from (select arm, ord, count(*) over (partition by arm) as n, row_number() over (partition by arm order by sha<<cast(ord as string)>>) as rn from event_arm)) where rn <= target"),
-    "split_pool_weights": ("SPL16", "select question_id, answer, round(w / avg(w) over (), 9) as weight from (select question_id, answer, cast(1 as double) / count(*) over (partition by question_id) as w from pooled)"),
+    "split_pool_weights": ("SPL16", "with p as (select question_id, answer, cast(1 as double) / count(*) over (partition by question_id) as w from pooled) select question_id, answer, round(w / mean, 9) as weight from p join (select avg(w) as mean from p) m on true"),
     "ensemble_weighted_vote": ("ENS01", "select question_id, answer, round(sum(case model when 'm0' then 0.5e0 when 'm1' then 0.3e0 else 0.2e0 end), 9) as weight from per_model group by question_id, answer having sum(case model when 'm0' then 0.5e0 when 'm1' then 0.3e0 else 0.2e0 end) >= 0.45e0"),
     "ensemble_threshold_sweep": ("ENS02", "select t, count(*) as answers, cast(sum(case when answer = gold then 1 else 0 end) as bigint) as tp from (select p.question_id, answer, votes, gold from pooled p join gold_answer g on g.question_id = p.question_id) join (select 1 as t union all select 2 as t union all select 3 as t) on votes >= t group by t"),
     "ensemble_counterfactual": ("ENS12, ENS13", "select model, count(*) as only_here from (select p.question_id, p.model, count(*) over (partition by p.question_id) as n from per_model p join gold_answer g on g.question_id = p.question_id and g.gold = p.answer) where n = 1 group by model"),
@@ -310,13 +349,13 @@ def match_best_assignment(spark, sf_dir):
 
 def cluster_complete_link(spark, sf_dir):
     """SET08, SET10, SET17, STR23: near-duplicate surfaces of a question."""
-    surfaces = view(spark, sf_dir, "fused").where("rk <= 12").select("question_id", "rk", "answer")
+    surfaces = view(spark, sf_dir, "fused").select("question_id", "rk", "answer")
     return K.complete_link(surfaces, "question_id", "rk", "answer")
 
 
 def rank_diversify(spark, sf_dir):
     """WIN19, ENS20."""
-    signed = view(spark, sf_dir, "fused").where("rk <= 20").select("question_id", "rk", F.split("answer", " ")[0].alias("signature"))
+    signed = view(spark, sf_dir, "fused").select("question_id", "rk", F.split("answer", " ")[0].alias("signature"))
     return K.diversify(signed, "question_id", "rk", "signature")
 
 

@@ -19,7 +19,7 @@ VIEWS = {
     "ratios": "select *, cast(tp as double) / n_pred as p, cast(tp as double) / n_gold as r from counted",
     "metrics": "select *, case when p + r > 0 then cast(2 as double) * p * r / (p + r) else cast(0 as double) end as f1 from ratios",
     "ranked": "select *, row_number() over (partition by question_id order by f1 desc, p desc, r desc, n_pred, response_id) as rk from metrics",
-    "pairs": "select a.question_id, a.response_id as chosen_id, b.response_id as rejected_id, a.rk as chosen_rank, b.rk as rejected_rank, a.f1 as chosen_f1, b.f1 as rejected_f1, a.p as chosen_p, b.p as rejected_p, a.r as chosen_r, b.r as rejected_r, a.n_pred as chosen_n, b.n_pred as rejected_n, round(a.f1 - b.f1, 9) as gain from ranked a join ranked b on a.question_id = b.question_id and a.rk < b.rk where a.rk <= 8 and b.rk <= 8 and a.f1 - b.f1 >= 0.1",
+    "pairs": "select a.question_id, a.response_id as chosen_id, b.response_id as rejected_id, a.rk as chosen_rank, b.rk as rejected_rank, a.f1 as chosen_f1, b.f1 as rejected_f1, a.p as chosen_p, b.p as rejected_p, a.r as chosen_r, b.r as rejected_r, a.n_pred as chosen_n, b.n_pred as rejected_n, round(a.f1 - b.f1, 9) as gain from ranked a join ranked b on a.question_id = b.question_id and a.rk < b.rk where a.f1 - b.f1 >= 0.1",
     "per_model": "select question_id, answer, model, min(draw) as src_rank, count(distinct draw) as drawn from bank_rank group by question_id, answer, model",
     "pooled": "select question_id, answer, count(*) as votes, min(src_rank) as best_rank, sum(cast(1 as double) / src_rank) as rank_vote, sum(cast(drawn as double) / 7) as frequency from per_model group by question_id, answer",
     "gold_answer": "select question_id, min(answer) as gold from bank_rank where draw = 1 group by question_id",

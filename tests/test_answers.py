@@ -16,6 +16,7 @@ from quillrank.operators import evidence as V
 from quillrank.operators import kernels as K
 from quillrank.operators import learned as L
 from quillrank.operators import preferences as P
+from quillrank.operators import ranking as R
 from quillrank.plans import runner
 
 
@@ -274,6 +275,47 @@ def test_dominance(spark):
     assert got == {(1, 2), (4, 2)}
 
 
+def test_dominance_of_large_questions(spark):
+    draw = np.random.default_rng(5)
+    rows = [(q, int(i), int(draw.integers(0, 4)), int(draw.integers(0, 3))) for q in (1, 2) for i in draw.permutation(120)]
+    want = set()
+    for q in (1, 2):
+        some = [r for r in rows if r[0] == q]
+        pairs = [(min(a[1], b[1]), max(a[1], b[1]), a[1], b[1]) for a in some for b in some if a[3] == 0 and a[2] >= b[2] and (a[2] > b[2] or b[3] > 0)]
+        want |= {(q, a, b) for _, _, a, b in sorted(pairs)[:3]}
+    df = spark.createDataFrame(rows, "question_id long, response_id long, good long, bad long")
+    assert {(r.question_id, r.chosen_id, r.rejected_id) for r in P.dominance_pairs(df, ["good"], ["bad"], ["bad"], cap=3).collect()} == want
+
+
+def test_whole_response_pairs_of_large_questions(spark):
+    draw = np.random.default_rng(6)
+    rows = []
+    for i in range(90):
+        tp, n = int(draw.integers(0, 4)), int(draw.integers(4, 7))
+        p, r = tp / n, tp / 5
+        rows.append((1, i, n, p, r, 2 * p * r / (p + r) if tp else 0.0))
+    ranked = sorted(rows, key=lambda x: (-x[5], -x[3], -x[4], x[2], x[1]))
+    pairs = [(-round(a[5] - b[5], 9), i, j, a[1], b[1]) for i, a in enumerate(ranked) for j, b in enumerate(ranked) if i < j and a[5] - b[5] >= 0.1]
+    got = R.whole_response_pairs(spark.createDataFrame(rows, "question_id long, response_id long, n_pred long, p double, r double, f1 double"), cap=40)
+    assert [(r.chosen_response_id, r.rejected_response_id) for r in got.orderBy("pair_rank").collect()] == [x[3:] for x in sorted(pairs)[:40]]
+
+
+def test_global_rank(spark):
+    rows = [(i, i % 3, None if i % 11 == 0 else (i * 37) % 50) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, g long, v long").repartition(5)
+    last = lambda r: (r[2] is None, r[2] or 0, r[0])
+    got = {r.id: r.rn for r in R.global_rank(df, F.floor(F.col("v") / 8), F.col("v").asc_nulls_last(), "id").collect()}
+    assert got == {r[0]: n for n, r in enumerate(sorted(rows, key=last), 1)}
+    got = {r.id: r.rn for r in R.global_rank(df, F.floor(F.col("v") / 8), F.col("v").asc_nulls_last(), "id", within=("g",)).collect()}
+    assert got == {r[0]: n for g in range(3) for n, r in enumerate(sorted((r for r in rows if r[1] == g), key=last), 1)}
+
+
+def test_pair_draws_are_exact(spark):
+    df = spark.createDataFrame([(1, i, float(i), int(i < 2)) for i in range(42)] + [(2, i, float(i), int(i < 30)) for i in range(60)], "q long, a long, x double, label int")
+    drawn = L.drawn_pairs(df, "q", "a", ["x"], 100).groupBy("q").agg(F.count("*").alias("n"), F.countDistinct("_a", "_b").alias("d")).collect()
+    assert {(r.q, r.n, r.d) for r in drawn} == {(1, 80, 80), (2, 100, 100)}
+
+
 def test_diversify_keeps_the_pool(spark):
     rows = spark.createDataFrame([(1, 1, "a"), (1, 2, "a"), (1, 3, "b"), (1, 4, "a")], "q long, r long, s string")
     got = {r.r: r.position for r in K.diversify(rows, "q", "r", "s", penalty=0.3, k=3).collect()}
