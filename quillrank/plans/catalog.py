@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..operators import kernels as K
 from ..operators import ranking as R
 from ..streaming.events import arm_counts
-from . import answers
+from . import answers, reviews
 from .views import for_duckdb, run_sql
 
 S = T.SPACE.replace("'", "''")
@@ -369,5 +369,5 @@ def stats_paired_bootstrap(spark, sf_dir):
 for _f in (match_best_assignment, cluster_complete_link, rank_diversify, stats_paired_bootstrap):
     QUERIES[_f.__name__] = _f
 
-QUERIES |= answers.QUERIES
-ORACLE |= answers.ORACLE
+QUERIES |= answers.QUERIES | reviews.QUERIES
+ORACLE |= answers.ORACLE | reviews.ORACLE
