@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+import re
 import tempfile
 import uuid
 
@@ -20,27 +22,41 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 def prepare(spark: SparkSession) -> None:
     """Bounds Arrow batches (long texts) and lets local Python workers import this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and
+    driver and executors are one process.  On a cluster it must be set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: intermediate tables need a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='quillrank-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/scratch-{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, has size statistics."""
-    path = f"{shared_dir(df.sparkSession)}/scratch-{uuid.uuid4().hex}"
+    path = f"{_scratch(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Removes the tables that operators of this application wrote; call it when their results have been stored."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def buckets(spark: SparkSession, most: int = 60000) -> int:
     """How many hash buckets packed entries are dealt to: four for each shuffle partition."""
     return min(most, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -108,9 +124,11 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 U = np.uint64
-BASE, MIX1, MIX2 = U(0x9E3779B97F4A7C55), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
+MIX1, MIX2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 PIECE = 1 << 20
-_powers: list[np.ndarray] = []
+#: Words of more bytes are hashed by BLAKE2b, shorter ones by lanes of eight bytes.
+LONG = 64
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -120,18 +138,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE to the power 0..n-1 modulo 2**64, and the inverses."""
-    if not _powers or len(_powers[0]) < n:
-        n = max(n, 1 << 16)
-        inverse = pow(int(BASE), -1, 1 << 64)
-        _powers[:] = [np.cumprod(np.concatenate([[U(1)], np.full(n - 1, b, U)]), dtype=U) for b in (BASE, U(inverse))]
-    return _powers[0], _powers[1]
-
-
-def _piece_hashes(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of each word; a word also starts at each position in first (texts' starts)."""
-    n = len(data)
+def word_bounds(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word; a word also starts at each position in first (texts' starts)."""
     word = ~SPACE[data]
     start, end = word.copy(), word.copy()
     start[1:] &= ~word[:-1]
@@ -139,27 +147,47 @@ def _piece_hashes(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.n
     start[first] = word[first]
     last = first[first > 0] - 1
     end[last] = word[last]
-    starts, ends = np.flatnonzero(start), np.flatnonzero(end) + 1
-    up, down = powers(n + 1)
-    sums = np.empty(n + 1, U)
-    sums[0] = 0
-    np.cumsum((data.astype(U) + U(1)) * up[:n], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts]), starts
+    return np.flatnonzero(start), np.flatnonzero(end) + 1
 
 
-def word_hashes(column, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of an Arrow string array, in order, and the number of words of each text (null: 0).
+def _lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as a view."""
+    return np.ndarray(len(data), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+
+
+def _piece_hashes(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each word.  Lanes pass a non-linear bijection one by one, so no pattern in the letters cancels out."""
+    starts, ends = word_bounds(data, first)
+    size = ends - starts
+    out, lanes = mix(size.astype(U) + U(0x9E3779B97F4A7C15)), _lanes(data)
+    live = np.flatnonzero(size <= LONG)
+    for at in range(0, LONG, 8):
+        live = live[size[live] > at]
+        if not len(live):
+            break
+        out[live] = mix(out[live] * MIX2 ^ (lanes[starts[live] + at] & _MASK[np.minimum(size[live] - at, 8)]))
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out, starts
+
 
-    Polynomial over the UTF-8 bytes, whole texts, no Python object for a word."""
+def _bytes(column, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of an Arrow string array (null: none), and where each text starts and the last ends."""
     column = column.cast(pa.large_string()).fill_null("")
     column = pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
     if not len(column):
-        return np.empty(0, U), np.empty(0, np.int64)
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, body = column.buffers()
     offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(body, np.uint8)[offsets[0] : offsets[-1]] if body is not None and offsets[-1] > offsets[0] else np.empty(0, np.uint8)
-    offsets = offsets - offsets[0]
-    data = LOWER[data] if lower else data
+    return (LOWER[data] if lower else data), offsets - offsets[0]
+
+
+def word_hashes(column, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of an Arrow string array, in order, and the number of words of each text (null: 0).
+
+    Whole texts in UTF-8; no Python object for a word of up to LONG bytes."""
+    data, offsets = _bytes(column, lower)
     hashes, starts, at = [], [], 0
     while at < len(data):
         to = min(len(data), at + PIECE)
@@ -178,3 +206,29 @@ def word_hashes(column, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     hashes = np.concatenate(hashes) if hashes else np.empty(0, U)
     starts = np.concatenate(starts) if starts else np.empty(0, np.int64)
     return hashes, np.diff(np.searchsorted(starts, offsets))
+
+
+def word_ids(column, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words of an Arrow string array, equal for equal words and no others, and the number of words of each text.
+
+    Words meet by hash, and every word is then compared with the first of its hash, byte by byte."""
+    hashes, words = word_hashes(column, lower)
+    _, first, ids = np.unique(hashes, return_index=True, return_inverse=True)
+    data, offsets = _bytes(column, lower)
+    starts, ends = word_bounds(data, np.unique(offsets[:-1][offsets[:-1] < len(data)]))
+    size, other, lanes = ends - starts, first[ids], _lanes(data)
+    same, live = size == size[other], np.flatnonzero(other != np.arange(len(ids)))
+    live = live[same[live]]
+    long = live[size[live] > LONG]
+    live = live[size[live] <= LONG]
+    for at in range(0, LONG, 8):
+        live = live[size[live] > at]
+        if not len(live):
+            break
+        same[live] &= (lanes[starts[live] + at] ^ lanes[starts[other[live]] + at]) & _MASK[np.minimum(size[live] - at, 8)] == 0
+    for i in long.tolist():
+        same[i] = data[starts[i] : ends[i]].tobytes() == data[starts[other[i]] : ends[other[i]]].tobytes()
+    if not same.all():  # a hash stands for two words
+        known: dict[bytes, int] = {}
+        ids = np.array([known.setdefault(data[a:b].tobytes(), len(known)) for a, b in zip(starts.tolist(), ends.tolist())], np.int64)
+    return ids, words

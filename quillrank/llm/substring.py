@@ -15,33 +15,49 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE, U, buckets, mix, prepare, row_key, word_hashes
+from .common import U, buckets, mix, prepare, row_key, word_hashes
 
 FLUSH_WORDS = 1_000_000
 _PACKED = "bucket int, flush string, docs binary, at_low binary, at_high binary, hashes binary"
 _FOUND = "flush string, docs binary, at binary"
 _SPANS = "_k1 long, _k2 int, spans binary"
 _DOC = np.dtype([("k1", "<i8"), ("k2", "<i4"), ("words", "<i8")])
-BASE2 = U(0xD6E8FEB86659FD93)
+P = U(2**61 - 1)
+#: Two bases of the Rabin-Karp polynomials, drawn once.
+BASES = (U(0x0B5C1E6F2A9D3847), U(0x14D9A7C36E0F5B29))
+_LOW30, _LOW31 = U(2**30 - 1), U(2**31 - 1)
 
 
-def window_hashes(x: np.ndarray, width: int, base: np.uint64 = BASE) -> np.ndarray:
-    """Rabin-Karp hash modulo 2**64 of each run of width values, by doubling."""
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & P) + (x >> U(61))
+    return np.where(x >= P, x - P, x)
+
+
+def times(x: np.ndarray, c: int) -> np.ndarray:
+    """x * c modulo the prime P, for x and c below it: halves of 31 bits, of which no sum leaves 64 bits."""
+    ch, cl, xh, xl = U(c >> 31), U(c & (2**31 - 1)), x >> U(31), x & _LOW31
+    middle = xh * cl + xl * ch
+    return _reduced(U(2) * xh * ch + (middle >> U(30)) + ((middle & _LOW30) << U(31)) + xl * cl)
+
+
+def window_hashes(x: np.ndarray, width: int, base: np.uint64 = BASES[0]) -> np.ndarray:
+    """Rabin-Karp hash modulo the prime 2**61 - 1 of each run of width values, by doubling."""
     if len(x) < width:
         return np.empty(0, U)
-    out, done, power, run, size, run_power = None, 0, U(1), x, 1, base
+    run = _reduced(x)
+    out, done, size, run_power = None, 0, 1, int(base)
     while True:
         if width & size:
             if out is None:
                 out, done = run, size
             else:  # out covers the first `done` values, run the next `size`
                 n = len(x) - done - size + 1
-                out = out[:n] * run_power + run[done : done + n]
+                out = _reduced(times(out[:n], run_power) + run[done : done + n])
                 done += size
         if size * 2 > width:
             return out[: len(x) - width + 1]
-        run = run[: len(run) - size] * run_power + run[size:]
-        run_power, size = U(int(run_power) ** 2 % 2**64), size * 2
+        run = _reduced(times(run[: len(run) - size], run_power) + run[size:])
+        run_power, size = run_power**2 % int(P), size * 2
 
 
 def _pack(name, hashes, keys, words, width, n_buckets):
@@ -54,7 +70,7 @@ def _pack(name, hashes, keys, words, width, n_buckets):
     fits = at + width <= room
     at = at[fits]
     strong = mix(window_hashes(hashes, width)[fits])
-    side = mix(window_hashes(hashes, width, BASE2)[fits]) >> U(48)
+    side = mix(window_hashes(hashes, width, BASES[1])[fits]) >> U(48)
     order = np.argsort((side << U(48)) | (strong >> U(16)), kind="stable")
     s, d = strong[order], side[order]
     same = np.zeros(len(s) + 1, bool)
@@ -191,7 +207,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
 
     Rows: key, n_words, n_removed, kept (the words left, joined by a space; with digest its SHA-256).
     Null and empty texts: no words.  Equal rows each keep their own row.  Other columns are not read.
-    A window's hash has 64 bits and its bucket 16 more of a second hash; n windows have about n*n / 2**81 false pairs."""
+    Equality of windows is equality of hashes, polynomials of the words' hashes modulo a prime: 61 bits, and as many
+    bits of a second one as number the buckets (16 at most).  n windows have about n*n / 2**78 false pairs at 60,000
+    buckets; texts are not compared again, since a third shuffle of them would not fit the disk."""
     spans = removal_spans(docs, key, text, width)
     source = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), *row_key(key, text))
     joined = source.join(spans, ["_k1", "_k2"], "left").select("id", "text", "spans")
