@@ -7,7 +7,7 @@
    are the candidate clusters.
 3. Clusters are verified in blocks of bounded size.  Inside one, signatures are compared batch by batch; a pair
    goes when the posterior probability that its similarity reaches the threshold falls below `miss`; what stays
-   is confirmed on the full sets.  Pairs that are connected already need no test, so a group of copies costs
+   is confirmed on the full sets of shingles of the texts' words, not of their hashes.  Pairs that are connected already need no test, so a group of copies costs
    about one test a member.
 4. Clusters of more than one block share some members (hubs) between blocks; members that did not join their
    cluster's largest component meet every block again.  A pair is then either tested, or of one component."""
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U, buckets, components, mix, prepare, word_hashes, written
+from .common import U, buckets, components, mix, prepare, word_hashes, word_ids, written
 
 ROWS, BANDS = 7, 64
 BATCH = 32
@@ -46,6 +46,28 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
     return np.unique(run)
 
 
+def exact_sets(ids: np.ndarray, words: np.ndarray, width: int) -> list[np.ndarray]:
+    """For each text, given the ids of its words, sorted distinct codes of its shingles; equal codes are equal runs of words.
+
+    A run's code is the rank of the run one shorter, joined with the next word's id; a text of fewer words than
+    width has one code below zero, the same for the same words."""
+    ends = np.cumsum(words)
+    n, room = len(ids), int(ids.max(initial=0)) + 1
+    code = ids.astype(np.int64)
+    for k in range(1, width):
+        step = code[: max(0, n - k)] * room + ids[k:]
+        code = np.unique(step, return_inverse=True)[1] if k < width - 1 else step
+    out, short = [], {}
+    for end, w in zip(ends.tolist(), words.tolist()):
+        if w >= width:
+            out.append(np.unique(code[end - w : end - width + 1]))
+        elif w:
+            out.append(np.array([-1 - short.setdefault(ids[end - w : end].tobytes(), len(short))], np.int64))
+        else:
+            out.append(np.empty(0, np.int64))
+    return out
+
+
 def signature(shingle: np.ndarray, size: int) -> np.ndarray:
     """The first `size` MinHash values of a non-empty set."""
     x = np.unique((shingle >> U(32)).astype(np.uint32))[None, :]
@@ -61,15 +83,15 @@ def _digest(shingle: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingle.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-_ENTRY = "id {}, n long, class long, bucket int, hashes binary, classes binary, src long, dst long"
+_ENTRY = "row long, id {}, n long, class long, bucket int, hashes binary, classes binary, src long, dst long"
 _FIELDS = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
 
 
 def _bands(width: int, n_buckets: int, id_type: pa.DataType):
-    names = ["id", "n", "class", "bucket", "hashes", "classes", "src", "dst"]
+    names = ["row", "id", "n", "class", "bucket", "hashes", "classes", "src", "dst"]
 
     def rows(columns, n):
-        return pa.RecordBatch.from_arrays([c if c is not None else pa.nulls(n, t) for c, t in zip(columns, (id_type, *_FIELDS))], names)
+        return pa.RecordBatch.from_arrays([c if c is not None else pa.nulls(n, t) for c, t in zip(columns, (pa.int64(), id_type, *_FIELDS))], names)
 
     def flush(seen):
         classes = np.array(list(seen), np.int64)
@@ -83,12 +105,12 @@ def _bands(width: int, n_buckets: int, id_type: pa.DataType):
         hub = c[np.maximum.accumulate(np.where(again, 0, np.arange(len(h))))]
         if again.any():
             links = np.unique(np.stack([c[again], hub[again]], 1), axis=0)
-            yield rows([None] * 6 + [pa.array(links[:, 0]), pa.array(links[:, 1])], len(links))
+            yield rows([None] * 7 + [pa.array(links[:, 0]), pa.array(links[:, 1])], len(links))
         h, c = h[~again], c[~again]
         bucket = ((h >> U(32)) * U(n_buckets)) >> U(32)  # rises with h, so the buckets are runs
         cuts = np.searchsorted(bucket, np.arange(n_buckets + 1).astype(U))
         full = np.flatnonzero(np.diff(cuts))
-        yield rows([None, None, None, pa.array(full, pa.int32()), pa.array([h[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()), pa.array([c[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()), None, None], len(full))
+        yield rows([None] * 4 + [pa.array(full, pa.int32()), pa.array([h[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()), pa.array([c[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()), None, None], len(full))
 
     def run(batches):
         seen, n = {}, 0
@@ -103,7 +125,7 @@ def _bands(width: int, n_buckets: int, id_type: pa.DataType):
                 if w and classes[-1] not in seen:
                     seen[classes[-1]] = signature(s, ROWS * BANDS)
                     n += w
-            yield rows([batch["id"], pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), *[None] * 5], len(sizes))
+            yield rows([batch["row"], batch["id"], pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), *[None] * 5], len(sizes))
             if n >= FLUSH_WORDS or len(seen) >= 4096:
                 yield from flush(seen)
                 seen, n = {}, 0
@@ -149,17 +171,16 @@ def _verify(width: int, percent: int, miss: float, size: int = 256):
 
     def run(table: pa.Table) -> pa.Table:
         """One block: links of a spanning forest of its similarity graph, and for each class its smallest linked class here."""
-        hashes, words = word_hashes(table["text"].combine_chunks(), lower=True)
-        ends, sets = np.cumsum(words), {}
-        for cls, end, w in zip(table["class"].to_pylist(), ends.tolist(), words.tolist()):
-            if cls not in sets:
-                s = shingles(hashes[end - w : end], width)
-                if w and _digest(s) == cls:  # a doc_id may stand for several texts
-                    sets[cls] = s
-        classes = sorted(sets)
-        sets = [sets[c] for c in classes]
+        column, classes = table["text"].combine_chunks(), table["class"].to_numpy()
+        order = np.argsort(classes, kind="stable")
+        hashes, words = word_hashes(column, lower=True)
+        ends = np.cumsum(words)
+        hashed = [shingles(hashes[end - w : end], width) for end, w in zip(ends.tolist(), words.tolist())]
+        ids, _ = word_ids(column, lower=True)
+        exact = exact_sets(ids, words, width)
+        classes, sets, hashed = classes[order].tolist(), [exact[i] for i in order], [hashed[i] for i in order]
         sizes = np.array([len(s) for s in sets], np.int64)
-        sigs = np.stack([signature(s, size) for s in sets]) if sets else np.empty((0, size), np.uint32)
+        sigs = np.stack([signature(s, size) for s in hashed]) if sets else np.empty((0, size), np.uint32)
         root = np.arange(len(classes))
         for i in range(len(classes)):
             near = np.flatnonzero((root[i + 1 :] != root[i]) & (100 * np.minimum(sizes[i + 1 :], sizes[i]) >= percent * np.maximum(sizes[i + 1 :], sizes[i]))) + i + 1
@@ -186,40 +207,46 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     """One row for each row of docs: key, n_shingles, component_id (the smallest key of the component), kept.
 
     Two rows link when 100 * |intersection| >= percent * |union| of their sets of `width`-word shingles, A-Z
-    lower-cased.  A band agreement of 64 x 7 values misses a pair at 0.8 with probability 3e-7, at 0.9 with 1e-18; set
-    digests, shingles and band hashes have 64 bits.  Texts without words (or null) link to nothing.  Rows of one
-    key are kept or not together.  Null keys stand for a component only where it has no other.  Other columns are not read."""
-    spark = docs.sparkSession
-    prepare(spark)
-    source = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    kind = source.schema["id"].dataType
+    lower-cased.  A band agreement of 64 x 7 values misses a pair at 0.8 with probability 3e-7, at 0.9 with 1e-18.
+    Sets of equal 64-bit digests count as equal (n different ones: about n*n / 2**65 false pairs); all other links are
+    confirmed on words.  Texts without words (or null) link to nothing.  Rows of one key are kept or not together.
+    Null keys stand for a component only where it has no other.  Empty tables give no rows; other columns are not read."""
+    prepare(docs.sparkSession)
+    source = written(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("id"), F.col(text).alias("text")))
+    found = _grouped(source, width, percent, miss)
+    least = F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("least"))
+    out = found.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), least.alias("component_id"))
+    return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
+
+
+def _grouped(source: DataFrame, width: int, percent: int, miss: float) -> DataFrame:
+    """source(row, id, text), a written table, as (row, id, n, label, least): the component's label, null without words, and its smallest id."""
+    spark, kind = source.sparkSession, source.schema["id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
     n = buckets(spark)
     made = written(source.mapInArrow(_bands(width, n, to_arrow_type(kind)), _ENTRY.format(kind.simpleString())))
-    sets = made.where("n is not null").select("id", "n", "class")
+    sets = made.where("n is not null").select("row", "id", "n", "class")
     stars = made.where("bucket is not null").groupBy("bucket").applyInArrow(_stars, "src long, dst long")
     links = made.where("src is not null").select("src", "dst").union(stars)
     clusters = components(links).withColumnsRenamed({"node": "class", "label": "cluster"})
-    labels = _labels(source, sets, clusters, width, percent, miss)
+    labels = _labels(source.select("row", "text"), sets, clusters, width, percent, miss)
     sets = sets.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
     least = written(sets.where("label is not null").groupBy("label").agg(F.min("id").alias("least")))  # written: Spark can then split a large label in the join
-    out = sets.join(least, "label", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("label").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id"))
-    return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
+    return sets.join(least, "label", "left").select("row", "id", "n", "label", "least")
 
 
 def _labels(source: DataFrame, sets: DataFrame, clusters: DataFrame, width: int, percent: int, miss: float) -> DataFrame:
-    """(class, label) of the classes of candidate clusters."""
+    """(class, label) of the classes of candidate clusters; each class is read by the text of one of its rows."""
     found = "cluster long, blocks long, class long, root long"
-    members = written(sets.join(clusters, "class").groupBy("class", "cluster").agg(F.min("id").alias("id"), F.first("n").alias("n")))
+    members = written(sets.join(clusters, "class").groupBy("class", "cluster").agg(F.min("row").alias("row"), F.first("n").alias("n")))
     sizes = members.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("n").alias("words"))
     sizes = sizes.select("cluster", F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("words") / BLOCK_WORDS)).alias("blocks"), "members")
     placed = members.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("class", F.lit(1)), "blocks"))
     hub = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("class", F.lit(2)), F.greatest(F.lit(1), F.floor(F.col("members") / HUBS))) == 0)
     blocks = F.when(hub, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array("block"))
-    placed = placed.select("class", "cluster", "id", "blocks", blocks.alias("at"))
-    texts = placed.join(source.hint("merge"), placed["id"].eqNullSafe(source["id"])).select("class", "cluster", "blocks", "at", "text")
-    texts = texts.select("class", "cluster", "blocks", F.explode("at").alias("block"), "text")
+    placed = placed.select("row", "class", "cluster", "blocks", blocks.alias("at"))
+    texts = placed.join(source.hint("merge"), "row").select("class", "cluster", "blocks", F.explode("at").alias("block"), "text")
     roots = written(texts.groupBy("cluster", "block").applyInArrow(_verify(width, percent, miss), found))
     labels = roots.where("blocks = 1").select("class", F.col("root").alias("label"))
     large = roots.where("blocks > 1")
@@ -232,13 +259,13 @@ def _labels(source: DataFrame, sets: DataFrame, clusters: DataFrame, width: int,
     most = counted.groupBy("cluster").agg(F.max_by("label", F.struct("c", "label")).alias("most"))
     left = written(large.join(most, "cluster").where("label <> most").select("class", "cluster", "blocks"))
     if not left.isEmpty():
-        ids = members.select("class", "id")
+        ids = members.select("class", "row")
         groups = left.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).alias("groups"))
         probes = left.join(groups, "cluster").select("class", "cluster", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("class", F.lit(3)), "groups").alias("group"))
         # every block meets every group of at most about BLOCK probes
         bodies = large.select("class", "cluster", "blocks").join(groups, "cluster").select("class", "cluster", "blocks", F.pmod(F.xxhash64("class", F.lit(1)), "blocks").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("group"))
         meet = probes.union(bodies.select(probes.columns)).distinct().join(ids, "class")
-        texts = meet.join(source.withColumnRenamed("id", "_id").hint("merge"), F.col("id").eqNullSafe(F.col("_id"))).select("class", "cluster", "blocks", "block", "group", "text")
+        texts = meet.join(source.hint("merge"), "row").select("class", "cluster", "blocks", "block", "group", "text")
         more = texts.groupBy("cluster", "block", "group").applyInArrow(_verify(width, percent, miss), found)
         edges = large.select(F.col("class").alias("src"), F.col("label").alias("dst")).union(more.select("class", "root"))
         again = components(edges)
@@ -246,12 +273,17 @@ def _labels(source: DataFrame, sets: DataFrame, clusters: DataFrame, width: int,
     return labels.union(large.select("class", "label"))
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each component, that of the smallest key, and all rows without words.  Equal rows count as one."""
-    whole = docs.withColumn("_row", F.struct(F.col(key).alias("key"), F.xxhash64(*docs.columns).alias("hash"))).dropDuplicates(["_row"])
-    found = near_duplicates(whole, "_row", text, width, percent)
-    kept = found.where("kept").select(F.col("_row").alias("_kept"))
-    return whole.join(kept, F.col("_row").eqNullSafe(F.col("_kept")), "left_semi").select(*docs.columns)
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, miss: float = 1e-9) -> DataFrame:
+    """docs with one row of each component, that of the smallest key (ties: the first row read; null keys last), and all
+    rows without words.  Columns may have any name and stay as they are; an empty table stays empty."""
+    prepare(docs.sparkSession)
+    whole = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).withColumn("row", F.monotonically_increasing_id())
+    whole = written(whole)
+    k, t = f"c{docs.columns.index(key)}", f"c{docs.columns.index(text)}"
+    order = F.struct(F.col(k).isNull().alias("none"), F.col(k).alias("key"), F.col("row").alias("row"))
+    found = _grouped(whole.select("row", order.alias("id"), F.col(t).alias("text")), width, percent, miss)
+    kept = found.where("label is null or row = least.row").select("row")
+    return whole.join(kept, "row", "left_semi").drop("row").toDF(*docs.columns)
 
 
 def op9_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
