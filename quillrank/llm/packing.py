@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import zlib
 from array import array
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare, written
+from .vocabulary import added_tokens, encoder
 
 VOCABULARY = "byte_bpe_50k"
 #: Entries of a worker's cache of encoded words.
@@ -22,17 +24,10 @@ _encoders: dict = {}
 
 
 def _encoder(name: str):
-    """text -> ids as little-endian 16-bit bytes; equal to the tokenizer file's ids."""
+    """text -> ids as little-endian 16-bit bytes; equal to the tokenizer file's ids, its added tokens included."""
     if name not in _encoders:
-        import base64
-
-        import public_tokenizers
-        import tiktoken
-
-        with open(public_tokenizers.path(f"{name}.tiktoken"), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        assert max(ranks.values()) < 1 << 16
-        whole = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        whole, added = encoder(name), added_tokens(name)
+        stops = re.compile(f"({'|'.join(map(re.escape, sorted(added, key=len, reverse=True)))})")
 
         class Words(dict):
             """' ' + word -> ids.  No match of the pattern goes over a single space between two non-space characters
@@ -45,15 +40,18 @@ def _encoder(name: str):
                 self[word] = got = packed(" " + word) if plain else None
                 return got
 
-        def packed(text: str) -> bytes:
-            ids = array("H", whole(text))
+        def as_bytes(ids) -> bytes:
+            ids = array("H", ids)  # fails on an id of more than 16 bits
             if sys.byteorder == "big":
                 ids.byteswap()
             return ids.tobytes()
 
+        def packed(text: str) -> bytes:
+            return as_bytes(whole(text))
+
         words = Words()
 
-        def encode(text: str) -> bytes:
+        def ordinary(text: str) -> bytes:
             first, *rest = text.split(" ")
             if first and not first[-1].isspace():
                 try:
@@ -62,6 +60,11 @@ def _encoder(name: str):
                     pass
             return packed(text)
 
+        def encode(text: str) -> bytes:
+            if not any(t in text for t in added):
+                return ordinary(text)
+            return b"".join(as_bytes([added[part]]) if part in added else ordinary(part) for part in stops.split(text) if part)
+
         _encoders[name] = encode
     return _encoders[name]
 
@@ -110,8 +113,9 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int =
     """One row for each piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Documents stand end to end in the order of their partitions; every sequence but the last is full, and a
-    document over a boundary has a piece on either side.  Null texts are empty and have the end id alone.
-    Repeated rows are documents of their own.  Other columns are not read."""
+    document over a boundary has a piece on either side.  Added tokens of the tokenizer file (<|endoftext|>) in a text
+    are one id, as there.  Null texts are empty and have the end id alone; an empty table has no pieces.  Repeated rows
+    are documents of their own.  Other columns are not read."""
     tokens = tokenized(docs, key, text, name, end)
     totals = {r["part"]: r["total"] for r in tokens.groupBy("part").agg(F.sum("n").alias("total")).collect()}  # a number a partition
     offsets = np.concatenate([[0], np.cumsum([totals.get(p, 0) for p in range(max(totals, default=0) + 1)])]).astype(np.int64)
