@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import prepare
+from .vocabulary import encoder
 
+VOCABULARY = "byte_bpe_50k"
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _HINTS = (b"passw", b"secret", b"token", b"api")
@@ -19,27 +21,30 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 
 #: A string of MIN_CHARS or more with fewer characters for each token than RATIO is random.
-MIN_CHARS, RATIO = 20, 2.0
+MIN_CHARS, RATIO = 20, 2.1
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _DIGEST = re.compile(r"(?:sha(?:1|224|256|384|512)|md5)?-?(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.I)
 _UUID = re.compile(r"[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.I)
-#: Numbers, and words joined as names are: camel case, dashes, underlines, slashes, a number at the end.
-#: Possessive, so that a long string is read once.
-_NAME = re.compile(r"[0-9+/_=-]++|[+/_=-]*+(?:[a-z]++|[A-Z][a-z]{3,}+|[A-Z]{2,}+)(?:[+/_=-]*+(?:[A-Z]*+[a-z]{2,}+|[A-Z]{2,}+))*+[0-9]{0,4}+[+/_=-]*+")
-_encode: list = []
+_UUID_OR_DIGEST = (_DIGEST, _UUID)
+#: Parts of a name: digits, a capitalised or lower-case word, a run of capitals.
+_PART = re.compile(r"[0-9]+|[A-Z]?[a-z]+|[A-Z]+")
+#: A string is a name where this share of its letters stands in parts of three letters or more that read as words, that
+#: is, take at most one token for each WORD_CHARS letters.
+NAME_SHARE, WORD_CHARS = 0.8, 3
 
 
 def _tokens(text: str) -> int:
-    if not _encode:
-        import base64
+    return len(encoder(VOCABULARY)(text))
 
-        import public_tokenizers
-        import tiktoken
 
-        with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encode.append(tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary)
-    return len(_encode[0](text))
+def is_name(string: str) -> bool:
+    """Words joined by separators or case, as identifiers are.  The words are told by the vocabulary, not by their case."""
+    letters = known = 0
+    for part in _PART.findall(string):
+        if part.isalpha():
+            letters += len(part)
+            known += len(part) * (len(part) >= 3 and WORD_CHARS * (_tokens(" " + part.lower()) - 1) < len(part))
+    return known >= NAME_SHARE * letters
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -53,21 +58,25 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def is_random(string: str) -> bool:
-    """The token-efficiency test, after known digests and identifiers."""
-    if _DIGEST.fullmatch(string) or _UUID.fullmatch(string) or _NAME.fullmatch(string):
+    """The token-efficiency test, without known digests and identifiers (names, numbers, UUIDs)."""
+    if len(string) >= RATIO * _tokens(string) or any(p.fullmatch(string) for p in _UUID_OR_DIGEST):
         return False
-    return len(string) < RATIO * _tokens(string)
+    return not is_name(string)
 
 
 def random_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Random strings that don't meet a base span (those come by start)."""
+    """Random strings outside the base spans, which come by start; what a base span leaves of a string is judged by itself."""
     out, i, reach = [], 0, 0
+
+    def judge(a, b):
+        if b - a >= MIN_CHARS and is_random(text[a:b]):
+            out.append((a, b, "random"))
+
     for m in _CANDIDATE.finditer(text):
         while i < len(base) and base[i][0] < m.end():
-            reach = max(reach, base[i][1])
-            i += 1
-        if reach <= m.start() and is_random(m[0]):
-            out.append((m.start(), m.end(), "random"))
+            judge(max(m.start(), reach), base[i][0])
+            reach, i = max(reach, base[i][1]), i + 1
+        judge(max(m.start(), reach), m.end())
     return out
 
 
@@ -90,7 +99,8 @@ def _scan(batches):
 def find_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: key, n_assign, n_access, n_hex, base_sha256, spans ("kind:start:end" by start, comma-joined).
 
-    Whole texts; null is empty and has no span.  Repeated rows each keep a row; other columns are not read."""
+    Whole texts; null is empty and has no span.  Repeated rows each keep a row; an empty table gives none; other columns
+    are not read."""
     prepare(docs.sparkSession)
     source = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     kind = source.schema["id"].dataType.simpleString()
@@ -111,7 +121,9 @@ def redacted(text: str | None, mask: str = "[SECRET]") -> str | None:
 
 
 def redact(docs: DataFrame, text: str = "text", length: str | None = None) -> DataFrame:
-    """docs with the secrets in text replaced, and their length column, if one is named, brought up to date."""
+    """docs with the secrets in text replaced, and their length column, if one is named, brought up to date.
+
+    Null stays null; other columns, whatever their names, stay as they are; an empty table stays empty."""
     prepare(docs.sparkSession)
     place = docs.columns.index(text)
 
@@ -119,8 +131,12 @@ def redact(docs: DataFrame, text: str = "text", length: str | None = None) -> Da
         for batch in batches:
             yield batch.set_column(place, batch.schema.field(place), pa.array([redacted(t) for t in batch.column(place).to_pylist()], batch.schema.field(place).type))
 
-    out = docs.mapInArrow(run, docs.schema)
-    return out.withColumn(length, F.length(text).cast(docs.schema[length].dataType)) if length else out
+    out = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    out = out.mapInArrow(run, out.schema)
+    if length:
+        at = docs.columns.index(length)
+        out = out.withColumn(f"c{at}", F.length(f"c{place}").cast(docs.schema[at].dataType))
+    return out.toDF(*docs.columns)
 
 
 def op3_secret_scan(spark, sf_dir: str) -> DataFrame:
