@@ -5,7 +5,9 @@ number of pieces.  Ties go as in the tokenizer: of equal scores at a position, t
 
 from __future__ import annotations
 
+import hashlib
 import math
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -13,6 +15,10 @@ from pyspark.sql import functions as F
 
 from .common import prepare
 
+#: White space as the tokenizer has it: Unicode's White_Space.  str.split() also splits at four separators that are none.
+_OTHER = re.compile("[\x1c-\x1f]")
+_WORD = re.compile(r"[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: An unknown character scores this much below the lowest piece.
@@ -22,6 +28,12 @@ CACHE = 400_000
 _counters: dict = {}
 
 
+def split_words(text: str | None) -> list[str]:
+    if not text:
+        return []
+    return _WORD.findall(text) if _OTHER.search(text) else text.split()
+
+
 def vocabulary(name: str = MODEL) -> list[tuple[str, float]]:
     """(piece, log score) of a public sentencepiece model; its merge ranks r become Zipf scores -log(r + 2)."""
     import public_tokenizers
@@ -67,7 +79,7 @@ class Counter:
     def text(self, text: str | None) -> int:
         """Each white-space-delimited word is led by the space mark and counted by itself."""
         total, known = 0, self.words
-        for word in (text or "").split():
+        for word in split_words(text):
             got = known.get(word)
             if got is None:
                 if len(known) >= CACHE:
@@ -77,25 +89,29 @@ class Counter:
         return total
 
 
-def _count(name: str):
+def _count(name: str, pieces: list[tuple[str, float]] | None):
+    token = hashlib.md5(repr(pieces).encode()).hexdigest() if pieces else name
+
     def run(batches):
-        if name not in _counters:
-            _counters[name] = Counter(vocabulary(name))
-        counter = _counters[name]
+        if token not in _counters:
+            _counters.clear()
+            _counters[token] = Counter(pieces or vocabulary(name))
+        counter = _counters[token]
         for batch in batches:
             texts = batch["text"].to_pylist()
-            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([len((t or "").split()) for t in texts], pa.int64()), pa.array([counter.text(t) for t in texts], pa.int64())], ["id", "n_words", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([batch["id"], pa.array([len(split_words(t)) for t in texts], pa.int64()), pa.array([counter.text(t) for t in texts], pa.int64())], ["id", "n_words", "n_tokens"])
 
     return run
 
 
-def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = MODEL) -> DataFrame:
+def token_counts(docs: DataFrame, key: str = "doc_id", text: str = "text", name: str = MODEL, pieces: list[tuple[str, float]] | None = None) -> DataFrame:
     """One row for each row of docs: key, n_words, n_tokens, over the whole text.
 
-    Null and empty texts have none.  Repeated rows each keep a row; other columns are not read."""
+    pieces: (piece, log score) of a unigram model; without them the public model `name` with Zipf scores.  Null and
+    empty texts have no tokens.  Repeated rows each keep a row; an empty table gives none; other columns are not read."""
     prepare(docs.sparkSession)
     source = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
-    return source.mapInArrow(_count(name), f"id {source.schema['id'].dataType.simpleString()}, n_words long, n_tokens long").withColumnRenamed("id", key)
+    return source.mapInArrow(_count(name, pieces), f"id {source.schema['id'].dataType.simpleString()}, n_words long, n_tokens long").withColumnRenamed("id", key)
 
 
 def op5_token_counts(spark, sf_dir: str) -> DataFrame:
