@@ -19,18 +19,43 @@ TRAIN_ROWS = 4000
 _MUL = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 
+#: Characters of a text that are in memory as numbers at once.
+PIECE = 1 << 18
+
+
+def ngram_pieces(text: str):
+    """ngram_ids in pieces; together the same for any PIECE."""
+    text = f" {text.lower()} "
+    carry, ended = np.empty(0, np.uint32), False
+    for lo in range(0, len(text), PIECE):
+        x = np.frombuffer(text[lo : lo + PIECE].encode("utf-32-le", "replace"), np.uint32)
+        plain = (x < 128) & ~((x >= 97) & (x <= 122))
+        x = np.where(plain, np.uint32(32), x)
+        x = x[~(plain & np.concatenate([[ended], plain[:-1]]))]  # runs of such characters are one
+        ended = bool(plain[-1])
+        x = np.concatenate([carry, x])
+        out, h = [], np.zeros(len(x), np.uint32)
+        for k in range(max(ORDERS)):
+            h = (h[: max(0, len(x) - k)] ^ x[k:]) * _MUL[k]
+            if k + 1 in ORDERS:  # runs that end in the carry were there before
+                new = h[max(0, len(carry) - k) :]
+                out.append((new ^ np.uint32(k * 0x27D4EB2F)) * np.uint32(0x9E3779B1) >> np.uint32(32 - BITS))
+        carry = x[max(0, len(x) - max(ORDERS) + 1) :]
+        yield np.concatenate(out)
+
+
 def ngram_ids(text: str) -> np.ndarray:
     """Hashed ids of all runs of 1, 2 and 3 characters of the lower-cased text; other characters than letters count as a space."""
-    x = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "replace"), np.uint32)
-    plain = (x < 128) & ~((x >= 97) & (x <= 122))
-    x = np.where(plain, np.uint32(32), x)
-    x = x[~(plain & np.concatenate([[False], plain[:-1]]))]  # runs of such characters are one
-    out, h = [], np.zeros(len(x), np.uint32)
-    for k in range(max(ORDERS)):
-        h = (h[: len(x) - k] ^ x[k:]) * _MUL[k]
-        if k + 1 in ORDERS:
-            out.append((h ^ np.uint32(k * 0x27D4EB2F)) * np.uint32(0x9E3779B1) >> np.uint32(32 - BITS))
-    return np.concatenate(out)
+    return np.concatenate(list(ngram_pieces(text)))
+
+
+def ngram_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids of a text and their counts."""
+    if len(text) < PIECE:
+        return np.unique(ngram_ids(text), return_counts=True)
+    counts = sum(np.bincount(ids, minlength=1 << BITS) for ids in ngram_pieces(text))
+    ids = np.flatnonzero(counts)
+    return ids, counts[ids]
 
 
 def has_letter(text: str | None) -> bool:
@@ -55,8 +80,7 @@ def predict(model: Model, dense: np.ndarray, text: str | None) -> tuple[str, flo
     if not has_letter(text) or not model.languages:
         return "und", 0.0
     total, n = np.zeros(len(model.languages)), 0
-    for lo in range(0, len(text), 1 << 18):  # bounds memory; two characters of overlap keep every run
-        ids = ngram_ids(text[lo : lo + (1 << 18) + 2])
+    for ids in ngram_pieces(text):
         total += dense[ids].sum(0, dtype=np.float64)
         n += len(ids)
     z = total / n + model.bias
@@ -130,14 +154,15 @@ def _features(batches):
     for batch in batches:
         out = []
         for text in batch["text"].to_pylist():
-            ids, counts = np.unique(ngram_ids(text), return_counts=True)
+            ids, counts = ngram_counts(text)
             out.append((ids.astype("<u4").tobytes(), counts.astype("<u4").tobytes()))
         yield pa.RecordBatch.from_arrays([batch["lang"], pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())], ["lang", "ids", "counts"])
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS) -> Model:
     """Fits on a sample of about `rows` labelled rows outside the held-out fold, as many of each language as there are, or an
-    equal share.  The sample goes by a hash of row content, so that reruns agree."""
+    equal share.  The sample goes by a hash of row content, so that reruns agree.  The driver gets at most 8 bytes for each
+    feature of a row, of which there are 2**16, whatever the length of the texts.  No labelled rows: a model that says "und"."""
     prepare(docs.sparkSession)
     pool = docs.where(~held_out(key) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     counts = {r[lang]: r["count"] for r in docs.where(~held_out(key) & F.col(lang).isNotNull()).groupBy(lang).count().collect()}  # a number a language
@@ -146,7 +171,8 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     share = F.create_map(*[x for c, n in counts.items() for x in (F.lit(c), F.lit(each / n))]) if counts else None
     if not counts:
         return Model((), np.empty(0, int), np.empty((0, 0), np.float32), np.empty(0))
-    picked = pool.where(place < share[F.col(lang)]).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).limit(2 * rows)
+    picked = pool.where(place < share[F.col(lang)]).select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(key, text, lang).alias("row"))
+    picked = picked.dropDuplicates(["row"]).select("lang", "text")  # repeated rows have one place and come together
     found = picked.mapInArrow(_features, "lang string, ids binary, counts binary").collect()
     languages = tuple(sorted({r["lang"] for r in found}))
     found.sort(key=lambda r: (hash_bytes(r["ids"]), r["lang"]))
@@ -178,7 +204,8 @@ def _predict(model: Model, token: str):
 def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: key, held_out, lang_pred, score, from the whole text alone.
 
-    Null texts and texts without a letter: "und", 0.  Repeated rows each keep a row; other columns are not read."""
+    Null texts and texts without a letter: "und", 0.  Repeated rows each keep a row; an empty table gives none; other
+    columns are not read."""
     prepare(docs.sparkSession)
     source = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), held_out(key).alias("held_out"))
     kind = source.schema["id"].dataType.simpleString()
@@ -187,7 +214,9 @@ def identify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "te
 
 
 def keep_identified(docs: DataFrame, model: Model, text: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of docs whose language is known with a score of at least `least`, in docs' columns."""
+    """The rows of docs whose language is known with a score of at least `least`, in docs' columns, whatever their names.
+
+    Null texts and texts without a letter go; repeated rows go or stay together; an empty table stays empty."""
     prepare(docs.sparkSession)
     place = docs.columns.index(text)
 
@@ -197,7 +226,8 @@ def keep_identified(docs: DataFrame, model: Model, text: str = "text", least: fl
             got = [predict(model, dense, t) for t in batch.column(place).to_pylist()]
             yield batch.filter(pa.array([a != "und" and b >= least for a, b in got], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:
