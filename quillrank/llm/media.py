@@ -16,6 +16,8 @@ from .common import prepare
 
 #: A payload row has WIDTH samples; a frame up to ROWS of them.
 WIDTH, ROWS = 192, 256
+#: A canvas of more pixels is not drawn.
+MOST_PIXELS = 1 << 26
 _GREY = bytes(x for v in range(256) for x in (v, v, v))
 
 
@@ -98,17 +100,35 @@ def lzw_decode(data: bytes, least: int, samples: int) -> np.ndarray:
     return found
 
 
-def lzw_literals(samples: np.ndarray) -> bytes:
-    """8-bit samples as 9-bit literal codes with a clear code before each 254: a valid stream whose width never grows."""
-    n = len(samples)
-    blocks = -(-n // 254)
-    codes = np.full((blocks, 255), 256, np.uint16)
-    padded = np.zeros(blocks * 254, np.uint8)
-    padded[:n] = samples
-    codes[:, 1:] = padded.reshape(blocks, 254)
-    codes = np.append(codes.ravel()[: n + blocks], np.uint16(257))
-    bits = (codes[:, None] >> np.arange(9, dtype=np.uint16)) & 1
-    return np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes()
+def lzw_encode(samples: bytes) -> bytes:
+    """8-bit samples as an LZW code stream, the dictionary cleared whenever it is full."""
+    codes, book, at, run = [256], {}, 258, samples[0]
+    emit = codes.append
+    for x in samples[1:]:
+        key = run << 8 | x
+        if key in book:
+            run = book[key]
+            continue
+        emit(run)
+        if at < 4096:
+            book[key] = at
+            at += 1
+        else:
+            emit(256)
+            book, at = {}, 258
+        run = x
+    codes += [run, 257]
+    codes = np.array(codes, np.uint32)
+    k = np.arange(len(codes))
+    clears = np.concatenate([[-1], np.flatnonzero(codes == 256)])
+    since = k - clears[np.searchsorted(clears, k) - 1] - 1  # codes since the last clear code, a clear code itself included
+    since[0] = 0
+    width = 9 + (since >= 255).astype(np.int64) + (since >= 767) + (since >= 1791)
+    bit = np.cumsum(width) - width
+    byte, value = bit >> 3, codes << (bit & 7).astype(np.uint32)
+    size = int(bit[-1] + width[-1] + 7) >> 3
+    out = sum(np.bincount(byte + j, (value >> np.uint32(8 * j)) & np.uint32(255), size + 3) for j in range(3))
+    return out[:size].astype(np.uint8).tobytes()  # codes share no bit, so the sums are unions
 
 
 def _blocks(data: bytes) -> bytes:
@@ -128,7 +148,7 @@ def encode_payload(payload: bytes, delay: int = 4) -> bytes:
     out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(rows, ROWS), 0xF7, 0, 0), _GREY]
     for lo in range(0, rows, ROWS):
         part = samples[lo * WIDTH : (lo + ROWS) * WIDTH]
-        out += [b"\x21\xf9\x04", struct.pack("<BHBB", 2 << 2, delay, 0, 0), b"\x2c", struct.pack("<HHHHB", 0, 0, WIDTH, len(part) // WIDTH, 0), b"\x08", _blocks(lzw_literals(part))]
+        out += [b"\x21\xf9\x04", struct.pack("<BHBB", 2 << 2, delay, 0, 0), b"\x2c", struct.pack("<HHHHB", 0, 0, WIDTH, len(part) // WIDTH, 0), b"\x08", _blocks(lzw_encode(part.tobytes()))]
     return b"".join([*out, b"\x3b"])
 
 
@@ -147,13 +167,24 @@ class Frame:
 def decode(data: bytes):
     """The frames of a GIF in order: local or global palettes, interlacing, transparency, disposal 0 to 3.
 
-    One canvas at a time; raises ValueError on what is no whole GIF."""
+    One canvas at a time; raises ValueError on what is no whole GIF, or one over MOST_PIXELS."""
+    try:
+        yield from _decode(data)
+    except (IndexError, struct.error) as e:
+        raise ValueError("a GIF that ends early") from e
+
+
+def _decode(data: bytes):
     if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("no GIF")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
+    if width * height > MOST_PIXELS:
+        raise ValueError("a canvas over MOST_PIXELS")
     at, palette = 13, None
 
     def table(n):
+        if at + (3 << (n + 1)) > len(data):
+            raise ValueError("a palette ends early")
         return np.frombuffer(data, np.uint8, 3 << (n + 1), at).reshape(-1, 3)
 
     def sub_blocks(at):
@@ -188,7 +219,13 @@ def decode(data: bytes):
         if local & 0x80:
             colours = table(local & 7)
             at += colours.size
+        if colours is None:
+            raise ValueError("a frame without a palette")
+        if w * h > MOST_PIXELS:
+            raise ValueError("a frame over MOST_PIXELS")
         least = data[at]
+        if not 2 <= least <= 8:
+            raise ValueError("samples of other than 2 to 8 bits")
         body, at = sub_blocks(at + 1)
         samples = lzw_decode(body, least, w * h).reshape(h, w)
         if local & 0x40:
@@ -217,37 +254,43 @@ def decode(data: bytes):
     raise ValueError("a GIF without its end")
 
 
-def histogram(frame: Frame, bins: int = 8) -> np.ndarray:
-    """Shown pixels of a frame by channel and colour range; clear pixels don't count."""
-    shown = frame.canvas[frame.canvas[..., 3] > 0][:, :3]
-    return np.stack([np.bincount(shown[:, c] // (256 // bins), minlength=bins) for c in range(3)])
+def histogram(frame: Frame, bins: int = 8, channels: int = 3) -> np.ndarray:
+    """Shown pixels of a frame by channel (the first ones) and colour range; clear pixels don't count."""
+    shown = frame.canvas[..., 3] > 0
+    return np.stack([np.bincount(frame.canvas[..., c][shown] // (256 // bins), minlength=bins) for c in range(channels)])
 
 
 def frame_table(media: DataFrame, key: str, data: str) -> DataFrame:
-    """One row for each frame of each GIF: key, frame, start_cs and delay_cs (hundredths of a second), left, top, width, height,
-    disposal, and red, green, blue: histograms of the picture as shown.  Null or damaged media: no row."""
+    """One row for each frame of each GIF: key, status ("ok"), frame, start_cs and delay_cs (hundredths of a second), left, top, width,
+    height, disposal, and red, green, blue: histograms of the picture as shown.
+
+    Media that don't decode have one row after their good frames, with the reason in status and nulls in the rest: "null",
+    or what is damaged.  A GIF without frames has no row.  Repeated rows each have theirs; an empty table gives none; other
+    columns are not read."""
     prepare(media.sparkSession)
     source = media.select(F.col(key).alias("id"), F.col(data).alias("data"))
-    names = ["frame", "start_cs", "delay_cs", "left", "top", "width", "height", "disposal"]
+    names = ["status", "frame", "start_cs", "delay_cs", "left", "top", "width", "height", "disposal"]
 
     def run(batches):
         for batch in batches:
             ids, rows = [], []
-            for i, gif in enumerate(batch["data"].to_pylist()):
-                found, start = [], 0
+            for i, gif in enumerate(batch["data"]):
+                start, gif = 0, gif.as_py()
                 try:
-                    for n, f in enumerate(decode(gif or b"")):
-                        found.append([n, start, f.delay, f.left, f.top, f.samples.shape[1], f.samples.shape[0], f.disposal, *histogram(f).tolist()])
+                    if gif is None:
+                        raise ValueError("null")
+                    for n, f in enumerate(decode(gif)):
+                        rows.append(["ok", n, start, f.delay, f.left, f.top, f.samples.shape[1], f.samples.shape[0], f.disposal, *histogram(f).tolist()])
+                        ids.append(i)
                         start += f.delay
-                except (ValueError, IndexError, struct.error):
-                    continue
-                ids += [i] * len(found)
-                rows += found
-            columns = list(zip(*rows)) or [()] * 11
-            yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(ids, pa.int64())), *(pa.array(c, pa.int64()) for c in columns[:8]), *(pa.array(c, pa.list_(pa.int64())) for c in columns[8:])], ["id", *names, "red", "green", "blue"])
+                except ValueError as e:
+                    rows.append([str(e), *[None] * 11])
+                    ids.append(i)
+            columns = list(zip(*rows)) or [()] * 12
+            yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(ids, pa.int64())), pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:9]), *(pa.array(c, pa.list_(pa.int64())) for c in columns[9:])], ["id", *names, "red", "green", "blue"])
 
     kind = source.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, {', '.join(f'{n} long' for n in names)}, red array<long>, green array<long>, blue array<long>"
+    schema = f"id {kind}, status string, {', '.join(f'{n} long' for n in names[1:])}, red array<long>, green array<long>, blue array<long>"
     return source.mapInArrow(run, schema).withColumnRenamed("id", key)
 
 
@@ -261,7 +304,7 @@ def _read_back(gif: bytes) -> tuple[bytes, str]:
     parts, total, frames, time = [], np.zeros(8, np.int64), 0, 0
     for f in decode(gif):
         parts.append(f.samples.tobytes())
-        total += histogram(f)[0]
+        total += histogram(f, channels=1)[0]  # grey: the channels are equal
         frames, time = frames + 1, time + f.delay
     share = total * 1000 // max(1, int(total.sum()))
     return b"".join(parts), f"frames={frames};cs={time};grey={'-'.join(map(str, share.tolist()))}"
@@ -273,7 +316,7 @@ def _store(batches):
 
 
 def store(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, media): each whole text as a GIF."""
+    """(key, media): each whole text as a GIF; null is empty.  Repeated rows each have one; an empty table gives none."""
     prepare(docs.sparkSession)
     source = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     return source.mapInArrow(_store, f"id {source.schema['id'].dataType.simpleString()}, media binary").withColumnRenamed("id", key)
@@ -297,7 +340,8 @@ def _round_trip(batches):
 def media_features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: the text stored as a GIF, read back from those bytes and measured.
 
-    Null is empty; empty texts have a payload of 192 spaces; long ones have more frames.  Repeated rows each keep a row."""
+    Null is empty; empty texts have a payload of 192 spaces; long ones have more frames.  Repeated rows each keep a row; an
+    empty table gives none; other columns are not read."""
     prepare(docs.sparkSession)
     source = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     return source.mapInArrow(_round_trip, f"id {source.schema['id'].dataType.simpleString()}, {_COLUMNS}").withColumnRenamed("id", key)
