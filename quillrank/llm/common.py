@@ -7,6 +7,7 @@ import os
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -44,16 +45,44 @@ def _scratch(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/scratch-{spark.sparkContext.applicationId}"
 
 
+#: Lists that written() notes its tables in, innermost last.
+_noting: list[list[str]] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors, has size statistics."""
     path = f"{_scratch(df.sparkSession)}/{uuid.uuid4().hex}"
+    for paths in _noting[-1:]:
+        paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def noted(paths: list[str]):
+    """Adds to paths the tables that written() makes meanwhile."""
+    _noting.append(paths)
+    try:
+        yield
+    finally:
+        _noting.pop()
+
+
+def dropped(spark: SparkSession, paths: list[str], but: DataFrame) -> None:
+    """Removes the tables in paths that `but` does not read, from the disk and from the list."""
+    read = but.inputFiles()
+    for path in [p for p in paths if not any(p in f for f in read)]:
+        _remove(spark, path)
+        paths.remove(path)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Removes the tables that operators of this application wrote; call it when their results have been stored."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
+    _remove(spark, _scratch(spark))
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

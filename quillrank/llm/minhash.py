@@ -283,7 +283,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", width
     order = F.struct(F.col(k).isNull().alias("none"), F.col(k).alias("key"), F.col("row").alias("row"))
     found = _grouped(whole.select("row", order.alias("id"), F.col(t).alias("text")), width, percent, miss)
     kept = found.where("label is null or row = least.row").select("row")
-    return whole.join(kept, "row", "left_semi").drop("row").toDF(*docs.columns)
+    return whole.hint("merge").join(kept, "row", "left_semi").drop("row").toDF(*docs.columns)
 
 
 def op9_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

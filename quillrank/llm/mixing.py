@@ -147,7 +147,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     whole = written(renamed.withColumn("row", F.monotonically_increasing_id()))
     sizes = _sizes(whole, k, t, s)
     copies = copy_counts(sizes, written(source_targets(sizes))).where("copies > 0").select("row", "copies")
-    taken = whole.join(copies, "row").select(*renamed.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    taken = whole.hint("merge").join(copies, "row").select(*renamed.columns, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     return taken.drop("copy").toDF(*docs.columns)
 
 

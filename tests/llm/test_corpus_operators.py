@@ -713,3 +713,31 @@ def test_queries_are_registered():
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 11))
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
     assert os.path.exists(os.path.join(common.ROOT, "corpus_pipeline.py"))
+
+
+def test_scratch_tables_go(spark):
+    """Noted tables go but for those that are still read; clear_scratch removes the rest."""
+    paths: list = []
+    with common.noted(paths):
+        a, b = common.written(spark.range(3)), common.written(spark.range(4))
+    outside = common.written(spark.range(5))
+    assert len(paths) == 2
+    common.dropped(spark, paths, b)
+    assert len(paths) == 1 and b.count() == 4 and outside.count() == 5
+    with pytest.raises(Exception):
+        a.count()
+    common.clear_scratch(spark)
+    with pytest.raises(Exception):
+        outside.count()
+
+
+def test_no_shared_folder_on_a_cluster(spark, monkeypatch):
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
