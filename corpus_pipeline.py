@@ -5,26 +5,43 @@ document of each group, the secret scan replaces secrets, mixing takes documents
 packing cuts the corpus into sequences of 1024 tokens."""
 
 from quillrank.llm import langid, minhash, mixing, packing, secret_scan
-from quillrank.llm.common import written
+from quillrank.llm.common import dropped, noted, written
 
+#: Intermediate tables of the stage before; they go once its rows have been written, that is, when the next stage starts.
+_left: list[str] = []
 
-def language(spark, docs, sf_dir):
+
+def _stage(operator):
+    def run(spark, docs, sf_dir):
+        dropped(spark, _left, docs)
+        with noted(_left):
+            return operator(docs)
+
+    return run
+
+
+@_stage
+def language(docs):
     return langid.keep_identified(docs, langid.train(docs))
 
 
-def near_duplicates(spark, docs, sf_dir):
+@_stage
+def near_duplicates(docs):
     return minhash.deduplicated(docs, width=5, percent=80)
 
 
-def secrets(spark, docs, sf_dir):
+@_stage
+def secrets(docs):
     return secret_scan.redact(docs, length="n_chars")
 
 
-def mixing_stage(spark, docs, sf_dir):
+@_stage
+def mixing_stage(docs):
     return mixing.mix(docs)
 
 
-def packing_stage(spark, docs, sf_dir):
+@_stage
+def packing_stage(docs):
     return packing.pack(docs)
 
 
@@ -36,7 +53,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: SQL can't train the classifier or tokenize; tests hold each stage against a brute-force version.
+#: SQL can't train the classifier or tokenize; tests hold each stage against a plain version on a small table.
 ORACLE_SQL = None
 
 
