@@ -135,3 +135,19 @@ def task_reward(tp: Column, n_pred: Column, n_gold: Column) -> Column:
 def dcrm_score(gap: Column, edit: Column, log_gap: Column, epsilon: float = 1e-6) -> Column:
     """(sigmoid(gap) - 1/2) over the distance of the pair (PAR03)."""
     return (1 / (1 + F.exp(-gap)) - 0.5) / (edit + F.abs(log_gap) + epsilon)
+
+
+def dpo_loss(margin: Column, beta: float = 0.1) -> Column:
+    """-log sigmoid(beta * margin), without overflow for large margins (PAR29)."""
+    x = -beta * margin
+    return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
+
+
+def calibrated_loss(chosen: Column, rejected: Column, target: float = 0.5) -> Column:
+    """Squared distances of the chosen and the rejected reward from target and -target."""
+    return (chosen - target) ** 2 + (rejected + target) ** 2
+
+
+def anchored_loss(chosen: Column, rejected: Column) -> Column:
+    """Pushes the chosen reward up and the rejected one down, each from 0."""
+    return (1 - 1 / (1 + F.exp(-chosen))) + 1 / (1 + F.exp(-rejected))

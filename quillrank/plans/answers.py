@@ -118,13 +118,15 @@ def equivalence_levels(spark, sf_dir):
     return E.equivalences(left, right, ["question_id"], "item_key", "alias_key")
 
 
-@entry("filter_containment", "with p as (select a.question_id, a.answer as x, b.answer as y, trim(regexp_replace(lower(a.answer), '[^a-z0-9]+', ' ', 'g')) as c, trim(regexp_replace(lower(split_part(b.answer, ' ', 1)), '[^a-z0-9]+', ' ', 'g')) as r from fused a join fused b on a.question_id = b.question_id and a.rk <> b.rk where a.rk <= 4 and b.rk <= 4) select question_id, x, y, case when c = r then 'exact' when contains(' ' || c || ' ', ' ' || r || ' ') then 'chosen_contains' when contains(' ' || r || ' ', ' ' || c || ' ') then 'rejected_contains' end as direction from p")
+_KEYED = "select question_id, answer as x, trim(regexp_replace(lower(answer), '[^a-z0-9]+', ' ', 'g')) as c, trim(regexp_replace(lower(split_part(answer, ' ', 1)), '[^a-z0-9]+', ' ', 'g')) as r from fused"
+
+
+@entry("filter_containment", f"with k as ({_KEYED}), p as (select a.question_id, a.x, b.x as y, a.c, b.r from k a join k b on a.question_id = b.question_id and a.x <> b.x) select question_id, x, y, case when c = r then 'exact' when contains(' ' || c || ' ', ' ' || r || ' ') then 'chosen_contains' else 'rejected_contains' end as direction from p where contains(' ' || c || ' ', ' ' || r || ' ') or contains(' ' || r || ' ', ' ' || c || ' ')")
 def filter_containment(spark, sf_dir):
-    """FLT11, STR22, STR25, STR26."""
-    f = view(spark, sf_dir, "fused").where("rk <= 4")
-    a, b = f.select("question_id", F.col("answer").alias("x"), F.col("rk").alias("_a")), f.select("question_id", F.col("answer").alias("y"), F.col("rk").alias("_b"))
-    pairs = a.join(b, "question_id").where("_a <> _b")
-    return pairs.select("question_id", "x", "y", S.containment(loose_key(F.col("x")), loose_key(F.split("y", " ")[0]), F.lit("")).alias("direction"))
+    """FLT11, STR22, STR25, STR26: all answers of a question against the first words of all others; pairs meet on shared words."""
+    f = view(spark, sf_dir, "fused").select("question_id", F.col("answer").alias("x"))
+    left, right = f.withColumn("c", loose_key(F.col("x"))), f.select("question_id", F.col("x").alias("y"), loose_key(F.split("x", " ")[0]).alias("r"))
+    return S.containing_pairs(left, right, ["question_id"], "c", "r").where("x <> y").select("question_id", "x", "y", S.containment(F.col("c"), F.col("r"), F.lit("")).alias("direction"))
 
 
 @entry("evidence_coverage", "with t as (select question_id, response_id, string_agg(item_key, ' ' order by item_key) as joined from resp_sets group by question_id, response_id), g as (select question_id, replace(alias_key, '#', ' ') as alias from gold_groups) select t.question_id, t.response_id, round(avg(case when contains(replace(joined, '#', ' '), alias) then cast(1 as double) else 0 end), 9) as coverage from t join g on g.question_id = t.question_id group by t.question_id, t.response_id")
@@ -387,30 +389,3 @@ def window_model_balanced(spark, sf_dir):
     turn = turn.select("question_id", F.concat(F.lit("m"), ((F.col("rn") - 1) % 3).cast("string")).alias("model"))
     first = view(spark, sf_dir, "per_model").groupBy("question_id", "model").agg(F.min(F.struct("src_rank", "answer")).alias("f"))
     return turn.join(first, ["question_id", "model"]).select("question_id", "model", F.col("f.answer").alias("answer"))
-
-
-#: name -> (blueprint IDs, one statement for both engines)
-RELATIONAL = {
-    "split_panel": ("SPL13", "select id, stratum from (select c_custkey as id, c_mktsegment as stratum, row_number() over (partition by c_mktsegment order by sha<<concat_ws(':', '9', cast(c_custkey as string))>>, c_custkey) as rn from customer) where rn <= 20"),
-    "split_distractor": ("SPL17", "select id, stratum, coalesce(following, first_id) as distractor from (select c_custkey as id, c_mktsegment as stratum, lead(c_custkey) over (partition by c_mktsegment order by sha<<cast(c_custkey as string)>>, c_custkey) as following, first_value(c_custkey) over (partition by c_mktsegment order by sha<<cast(c_custkey as string)>>, c_custkey) as first_id from customer)"),
-    "window_random_first": ("WIN15", "select question_id, response_id from (select question_id, response_id, row_number() over (partition by question_id order by sha<<concat_ws(':', '31', cast(response_id as string))>>, response_id) as rn from metrics) where rn = 1"),
-    "window_snippet_frequency": ("WIN17", "select question_id, item_key, snippets, row_number() over (partition by question_id order by snippets desc, item_key) as place from (select question_id, item_key, count(distinct response_id) as snippets from resp_sets group by question_id, item_key)"),
-    "agg_sorted_counts": ("AGG02", "select event_type, n, row_number() over (order by n desc, event_type) as place from (select event_type, count(*) as n from events group by event_type)"),
-    "agg_cluster_summary": ("AGG20, SET11", "select question_id, count(*) as clusters, max(n) as largest, cast(sum(case when n = 1 then 1 else 0 end) as bigint) as singletons from (select question_id, split_part(answer, ' ', 1) as head, count(*) as n from fused group by question_id, split_part(answer, ' ', 1)) group by question_id"),
-    "agg_truncation": ("AGG26", "select lang, count(*) as prompts, cast(sum(case when length(text) > 2000 then 1 else 0 end) as bigint) as truncated, max(length(text)) as longest from documents group by lang"),
-    "agg_citations": ("AGG33", "select checkpoint, round(cast(sum(case when hit then 1 else 0 end) as double) / count(*), 9) as citation_precision, round(cast(sum(case when group_id is not null then 1 else 0 end) as double) / count(*), 9) as grounded from matched group by checkpoint"),
-    "agg_judge_summary": ("AGG34, MET14, UDF03, UDF04", "select checkpoint, class, count(*) as n, round(cast(count(*) as double) / sum(count(*)) over (partition by checkpoint), 9) as fraction from (select checkpoint, case when hit then 'C3' when group_id is not null then 'C2' else 'C1' end as class from matched) group by checkpoint, class"),
-    "array_layout": ("ARR14", "select question_id, answer, concat('C', lpad(cast(row_number() over (partition by question_id order by sha<<concat_ws(':', '11', cast(question_id as string), answer)>>, answer) as string), 3, '0')) as candidate_id from pooled"),
-    "array_slates": ("ARR05", "select c.question_id, c.answer as chosen, n.answer as negative, n.rk as place from fused c join gold_answer g on g.question_id = c.question_id and g.gold = c.answer join fused n on n.question_id = c.question_id and n.answer <> c.answer and n.rk <= 5"),
-    "pairs_siblings": ("PAR25", "select a.question_id, a.alias_key as chosen, b.alias_key as rejected from gold_groups a join gold_groups b on a.question_id = b.question_id and a.group_id <> b.group_id where a.group_id <= 2 and b.group_id <= 2"),
-    "pairs_reader": ("PAR30", "select role, count(*) as n, cast(sum(case when answer is null or trim(answer) = '' then 1 else 0 end) as bigint) as incomplete from (select a.role, b.text as answer from conversations a left join conversations b on b.conv_id = a.conv_id and b.turn = a.turn + 1) group by role"),
-    "pairs_with_notes": ("PAR27, PAR28, UDF02", "select p.question_id, p.chosen_id, p.rejected_id, c.o_orderpriority as note, case when c.o_orderpriority = r.o_orderpriority then 'same' else 'different' end as agreement from pairs p join orders c on c.o_orderkey = p.chosen_id join orders r on r.o_orderkey = p.rejected_id"),
-    "pairs_wrong_bank_checks": ("PAR13, SET12", "select question_id, count(*) as rows_in, count(distinct item_key) as surfaces, count(*) = count(distinct item_key) as unique_ok, cast(sum(case when group_id is not null then 1 else 0 end) as bigint) as gold_leaks from matched group by question_id"),
-    "sft_expected": ("SFT10, SFT11, SFT08, ORC14", "select coalesce(e.question_id, g.question_id) as question_id, case when g.question_id is null then 'missing' when e.question_id is null then 'unexpected' else 'present' end as state from (select c_custkey as question_id from customer) e full outer join (select distinct question_id from gold_groups) g on g.question_id = e.question_id"),
-    "boundary_request_grid": ("UDF07, UDF08", "select q.question_id, d.draw, b.n is not null as answered from (select distinct question_id from bank_rank) q join (select distinct draw from bank_rank) d on d.draw is not null left join (select question_id, draw, count(*) as n from bank_rank group by question_id, draw) b on b.question_id = q.question_id and b.draw = d.draw"),
-}
-
-for _name, (_ids, _sql) in RELATIONAL.items():
-    QUERIES[_name] = lambda spark, sf_dir, sql=_sql: run_sql(spark, sf_dir, sql)
-    QUERIES[_name].__doc__ = _ids
-    ORACLE[_name] = for_duckdb(_sql)

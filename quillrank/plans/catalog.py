@@ -1,7 +1,6 @@
 """The query catalog: one entry for each operator of the blueprint's section 2 that is covered, named family_operator.
 
-QUERIES holds functions of (spark, sf_dir); ORACLE holds DuckDB SQL.  Entries of RELATIONAL are one statement that both
-engines run; the others are built from the operators and have SQL of their own."""
+QUERIES holds functions of (spark, sf_dir), built from the operators; ORACLE holds DuckDB SQL, a second formulation."""
 
 from __future__ import annotations
 
@@ -12,7 +11,7 @@ from ..functions import text as T
 from ..operators import kernels as K
 from ..operators import ranking as R
 from ..streaming.events import arm_counts
-from . import answers, reviews
+from . import answers, relational, reviews
 from .views import for_duckdb, run_sql
 
 S = T.SPACE.replace("'", "''")
@@ -240,107 +239,6 @@ def window_boundary_audit(spark, sf_dir):
     return pairs.orderBy("gain", "chosen_id", "rejected_id").limit(20).union(pairs.orderBy(hashed).limit(20)).drop("gain").distinct()
 
 
-#: name -> (blueprint IDs, one statement for both engines)
-RELATIONAL = {
-    "scan_first_key": ("SRC08, SET09, SET14, WIN21", "select question_id, item_key, response_id, dup from (select question_id, item_key, response_id, count(*) over (partition by question_id, item_key) as dup, row_number() over (partition by question_id, item_key order by response_id, item_ord, tie) as rn from resp_items) where rn = 1"),
-    "scan_score_lookup_last": ("SRC16, JON02", "select question_id, arm, score from (select *, row_number() over (partition by question_id, arm order by ord desc) as rn from event_arm) where rn = 1"),
-    "scan_union_provenance": ("SRC17, SRC18, SRC23, SET01", "select concat_ws('::', src, cast(id as string)) as response_id, src from (select 'orders' as src, o_orderkey as id from orders union all select 'customers' as src, c_custkey as id from customer)"),
-    "scan_known_questions": ("SRC12, JON13", "select i.response_id, count(*) as n from resp_items i where exists (select 1 from gold_groups g where g.question_id = i.question_id) group by i.response_id"),
-    "scan_journal_pending": ("SRC20, JON14, SET04", "select c_custkey as question_id from customer where not exists (select 1 from orders where o_custkey = c_custkey)"),
-    "scan_row_hash": ("SRC26, ORC08", "select n_nationkey, sha<<concat_ws('|', cast(n_nationkey as string), n_name, cast(n_regionkey as string))>> as row_sha256 from nation"),
-    "project_alias_rows": ("PRJ14, PRJ11, PRJ12", "select concat(cast(question_id as string), '__alias_', lpad(cast(group_id as string), 2, '0'), '_of_', lpad(cast(count(*) over (partition by question_id) as string), 2, '0')) as id, question_id, alias_key from gold_groups"),
-    "project_first_alias": ("PRJ10, PRJ15", "select question_id, alias_key as canonical from gold_groups where group_id = 1"),
-    "project_whitelist": ("PRJ23", "select question_id, answer from bank_rank"),
-    "project_submission": ("PRJ20, SRT06", "select question_id, rk as position, answer from fused where rk <= 5"),
-    "project_standard_row": ("PRJ21", "select question_id, response_id, checkpoint, cast(tp as bigint) as tp, cast(n_pred - tp as bigint) as fp, cast(n_gold - tp as bigint) as fn, round(p, 9) as p, round(r, 9) as r, round(f1, 9) as f1, n_pred as entity_count from metrics"),
-    "filter_bank_rows": ("FLT02, AGG08", "select coalesce(reason, 'kept') as reason, count(*) as n from (select case when draw is null then 'sample_id_missing' when draw < 2 or draw > 6 then 'sample_id_range' when length(answer) > 40 then 'parser_status' end as reason from bank_rank) t group by coalesce(reason, 'kept')"),
-    "filter_types": ("FLT03", "select event_id, event_type from events where event_type in ('click', 'purchase', 'view')"),
-    "filter_eligible": ("FLT04", "select question_id, response_id, case when n_pred > 6 then 'too_large' when tp = 0 then 'no_match' end as exclusion from metrics"),
-    "filter_gold_coverage": ("FLT10, AGG31", "select g.question_id, round(avg(case when i.item_key is not null then cast(1 as double) else 0 end), 9) as coverage from gold_groups g left join (select distinct question_id, item_key from resp_items where checkpoint = 'c0') i on i.question_id = g.question_id and i.item_key = g.alias_key group by g.question_id having avg(case when i.item_key is not null then cast(1 as double) else 0 end) >= 0.5"),
-    "filter_protected": ("FLT20, FLT19, SET03", "select doc_id, n_chars from documents where n_chars between 80 and 6000 and doc_id not in (select doc_id from labels where toxic = 1)"),
-    "filter_membership": ("FLT21, SET04", "select s.question_id, m.model, b.question_id is not null as present from (select distinct question_id from bank_rank) s join (select distinct model from bank_rank) m on m.model is not null left join (select distinct question_id, model from bank_rank) b on b.question_id = s.question_id and b.model = m.model"),
-    "filter_failures_kept": ("FLT22, MET04", "select c_custkey as question_id, coalesce(n, 0) as responses from customer left join (select o_custkey, count(*) as n from orders group by o_custkey) o on o_custkey = c_custkey"),
-    "filter_quality_vector": ("FLT16", "select response_id, count(*) as items, cast(sum(case when hit then 1 else 0 end) as bigint) as accepted, cast(sum(case when group_id is null then 1 else 0 end) as bigint) as incorrect, cast(sum(case when group_id is not null and not hit then 1 else 0 end) as bigint) as repeated from matched group by response_id"),
-    "filter_alignment": ("FLT13, ENS19", "with m as (select avg(gain) as g, stddev_pop(gain) as gs, avg(abs(chosen_n - rejected_n)) as e, stddev_pop(abs(chosen_n - rejected_n)) as es from pairs) select question_id, chosen_id, rejected_id, round(score, 6) as score from (select *, row_number() over (partition by question_id order by round(score, 6) desc, chosen_id, rejected_id) as rn from (select *, (gain - g) / gs - (abs(chosen_n - rejected_n) - e) / es as score from pairs join m on true)) where rn <= 2"),
-    "join_bank_questions": ("JON01", "select o_custkey as question_id, checkpoint, count(distinct response_id) as responses from resp_items join orders on o_orderkey = response_id group by o_custkey, checkpoint"),
-    "join_score_margin": ("JON03, JON04, JON06", "select p.question_id, chosen_id, rejected_id, round(c.o_totalprice - r.o_totalprice, 2) as margin from pairs p join orders c on c.o_orderkey = chosen_id join orders r on r.o_orderkey = rejected_id"),
-    "join_positional": ("JON05", "select a.question_id, a.rk, a.answer as first_answer, b.response_id from fused a join ranked b on a.question_id = b.question_id and a.rk = b.rk where a.rk <= 3"),
-    "join_pareto": ("JON08, PAR20", "select question_id, count(*) as dominated from (select a.question_id, a.response_id as x, b.response_id as y from ranked a join ranked b on a.question_id = b.question_id and a.response_id <> b.response_id where a.p >= b.p and a.r >= b.r and (a.p > b.p or a.r > b.r)) group by question_id"),
-    "join_permutations": ("JON09, JON10", "select a.question_id, a.response_id as x, b.response_id as y from ranked a join ranked b on a.question_id = b.question_id and a.response_id <> b.response_id where a.tp > b.tp and a.n_pred <= b.n_pred"),
-    "join_hard_negatives": ("JON11, JON10, WIN07, PAR14", "with neg as (select question_id, item_key, n, row_number() over (partition by question_id order by n desc, item_key) as rn from (select question_id, item_key, count(*) as n from matched where group_id is null group by question_id, item_key)) select g.question_id, g.alias_key as positive, item_key as negative, rn from gold_groups g join neg on neg.question_id = g.question_id where rn <= 3"),
-    "join_best_match": ("JON12, WIN08", "select question_id, shorter, longer from (select a.question_id, a.response_id as shorter, b.response_id as longer, row_number() over (partition by a.question_id order by abs(a.f1 - b.f1), abs(a.r - b.r), b.n_pred - a.n_pred, a.response_id, b.response_id) as rn from ranked a join ranked b on a.question_id = b.question_id and a.n_pred < b.n_pred) where rn = 1"),
-    "join_outer_compare": ("JON15", "with a as (select question_id, count(distinct answer) as n from bank_rank where model = 'm0' group by question_id), b as (select question_id, count(distinct answer) as n from bank_rank where model = 'm1' group by question_id) select coalesce(a.question_id, b.question_id) as question_id, a.n as left_n, b.n as right_n from a full outer join b on a.question_id = b.question_id where a.n is distinct from b.n"),
-    "join_paired_transitions": ("JON16, JON17, ENS18", "with s as (select question_id, max(case when arm = 'click' then mean_score end) as a, max(case when arm = 'view' then mean_score end) as b from arm_means group by question_id) select case when a > 50 and b > 50 then 'both' when a > 50 then 'lost' when b > 50 then 'gained' else 'neither' end as outcome, count(*) as questions from s where a is not null and b is not null group by 1"),
-    "join_upsert": ("JON21", "select coalesce(a.question_id, b.question_id) as question_id, coalesce(a.alias_key, b.item_key) as item_key, case when a.alias_key is null then 'inserted' when b.item_key is null then 'kept' else 'updated' end as action from gold_groups a full outer join (select distinct question_id, item_key from resp_items where checkpoint = 'c1') b on a.question_id = b.question_id and a.alias_key = b.item_key"),
-    "join_gold_exact": ("JON23, UDF01", "select distinct i.question_id, i.item_key, g.group_id is not null as exact from resp_items i left join gold_groups g on g.question_id = i.question_id and g.alias_key = i.item_key"),
-    "join_cluster_lookup": ("JON22, MET02", "select question_id, response_id, count(distinct coalesce('gold:' || cast(group_id as string), 'surface:' || item_key)) as clusters, count(distinct group_id) as aligned from matched group by question_id, response_id"),
-    "agg_numeric_summary": ("AGG01, AGG24", "select arm, count(score) as n, round(avg(score), 6) as mean, round(median(score), 6) as median, min(score) as low, max(score) as high from event_arm group by arm"),
-    "agg_distinct_questions": ("AGG04, AGG05", "select checkpoint, count(*) as responses, count(distinct question_id) as questions from metrics group by checkpoint"),
-    "agg_omission_recoverable": ("AGG10", "select g.question_id, count(*) as missing, cast(sum(case when s.item_key is not null then 1 else 0 end) as bigint) as recoverable from gold_groups g join (select question_id, response_id from ranked where rk = 1) b on b.question_id = g.question_id left join (select distinct question_id, item_key from resp_items) s on s.question_id = g.question_id and s.item_key = g.alias_key where not exists (select 1 from resp_sets x where x.response_id = b.response_id and x.question_id = g.question_id and x.item_key = g.alias_key) group by g.question_id"),
-    "agg_bank_diversity": ("AGG11, SET05, SET06", "with t as (select question_id, response_id, count(*) as n from resp_sets group by question_id, response_id), q as (select * from (select *, row_number() over (partition by question_id order by response_id) as rn from t) where rn <= 6), x as (select a.question_id, a.response_id as ra, b.response_id as rb, max(a.n) as na, max(b.n) as nb, count(sb.item_key) as k from q a join q b on a.question_id = b.question_id and a.rn < b.rn join resp_sets sa on sa.question_id = a.question_id and sa.response_id = a.response_id left join resp_sets sb on sb.question_id = b.question_id and sb.response_id = b.response_id and sb.item_key = sa.item_key group by a.question_id, a.response_id, b.response_id) select question_id, count(*) as pairs, round(avg(cast(k as double) / (na + nb - k)), 9) as jaccard, cast(sum(na + nb - 2 * k) as bigint) as set_edits from x group by question_id"),
-    "agg_pair_stats": ("AGG12, AGG09", "select count(*) as pairs, round(avg(chosen_n), 6) as chosen_n, round(avg(rejected_n), 6) as rejected_n, round(avg(gain), 6) as gain, cast(sum(case when chosen_f1 <= rejected_f1 then 1 else 0 end) as bigint) as violations from pairs"),
-    "agg_numeric_bins": ("AGG14", "select case when score <= 10 then 'le_10' when score <= 50 then 'le_50' when score <= 90 then 'le_90' else 'gt_90' end as bin, count(*) as n from event_arm group by 1"),
-    "agg_micro_macro": ("AGG15, AGG16", "with q as (select arm, question_id, count(*) as n, sum(case when score > 50 then 1 else 0 end) as k from event_arm group by arm, question_id) select arm, round(cast(sum(k) as double) / sum(n), 6) as micro, round(avg(cast(k as double) / n), 6) as macro from q group by arm"),
-    "agg_probe_summary": ("AGG17, AGG16", "select checkpoint, n_pred, count(*) as n, round(avg(f1), 6) as f1 from metrics group by checkpoint, n_pred"),
-    "agg_surface_stats": ("AGG18, AGG19", "select question_id, item_key, count(*) as n, count(distinct response_id) as responses, count(distinct checkpoint) as sources, min(response_id) as first_response from resp_items group by question_id, item_key"),
-    "agg_sample_frequency": ("AGG21, SET02", "select question_id, item_key, n from (select question_id, item_key, count(distinct response_id) as n from resp_items group by question_id, item_key) where n >= 2"),
-    "agg_pool_merge": ("AGG22, AGG23, SET13", "select question_id, answer, votes, best_rank, round(rank_vote, 9) as rank_vote, round(frequency, 9) as frequency from pooled"),
-    "agg_generation_quality": ("AGG25", "select model, count(*) as draws, cast(sum(case when n >= 10 then 1 else 0 end) as bigint) as at_ceiling, round(avg(n), 6) as candidates from (select question_id, model, draw, count(distinct answer) as n from bank_rank group by question_id, model, draw) group by model"),
-    "agg_usage": ("AGG27, AGG28, STR46", "select role, count(*) as calls, cast(sum(length(text)) as bigint) as chars from conversations group by role"),
-    "agg_selector_stats": ("AGG30, SPL15", "select question_id, pos, n - pos as neg, pos * (n - pos) as comparisons from (select f.question_id, count(*) as n, cast(sum(case when answer = gold then 1 else 0 end) as bigint) as pos from fused f join gold_answer g on g.question_id = f.question_id group by f.question_id)"),
-    "metric_recall_curve": ("MET06", "select k, cast(sum(case when first_rank <= k then 1 else 0 end) as bigint) as covered, count(*) as questions from rr join (select distinct rk as k from fused where rk <= 10) on true group by k"),
-    "metric_partition": ("MET06, MET15", "select case when first_rank = 1 then 'first' when first_rank <= 5 then 'top5' when first_rank is not null then 'below' else 'absent' end as place, count(*) as questions from rr group by 1"),
-    "metric_rank_contiguity": ("MET08, MET07", "select count(*) as bad from (select question_id, count(*) as n, max(rk) as last, count(distinct rk) as d from fused group by question_id) where n <> last or d <> n"),
-    "metric_official": ("MET09", "with m as (select checkpoint as kind, avg(f1) as f1, count(*) as n from metrics group by checkpoint) select round(avg(f1), 6) as macro, round(sum(f1 * n) / sum(n), 6) as weighted from m"),
-    "metric_draw_prefix": ("MET12, MET16", "select d.k, count(distinct b.question_id) as covered from (select distinct draw as k from bank_rank) d join bank_rank b on b.draw <= d.k join gold_answer g on g.question_id = b.question_id and g.gold = b.answer group by d.k"),
-    "metric_batches": ("MET13", "select checkpoint, question_id % 10 as batch, round(avg(f1), 6) as f1 from metrics group by checkpoint, question_id % 10"),
-    "metric_reward": ("MET17", "select question_id, response_id, round(0.5e0 * f1 + 0.3e0 * r + 0.2e0 * p - 0.1e0 * abs(n_pred - n_gold) / greatest(n_pred, n_gold), 9) as reward from metrics"),
-    "window_response_rank": ("WIN01, SRT01", "select question_id, response_id, rk from ranked"),
-    "window_score_rank": ("WIN02", "select question_id, response_id, row_number() over (partition by question_id order by o_totalprice desc, f1 desc, p desc, r desc, n_pred, response_id) as rk from metrics join orders on o_orderkey = response_id"),
-    "window_pair_cap": ("WIN04, WIN14", "select question_id, chosen_id, rejected_id from (select *, row_number() over (partition by question_id order by gain desc, chosen_rank, rejected_rank) as rn from (select *, row_number() over (partition by question_id, least(chosen_id, rejected_id), greatest(chosen_id, rejected_id) order by gain desc, chosen_rank) as once from pairs) where once = 1) where rn <= 3"),
-    "window_generation_order": ("WIN05", "select question_id, answer, row_number() over (partition by question_id order by first_draw nulls last, answer) as rk from (select question_id, answer, min(draw) as first_draw from bank_rank group by question_id, answer)"),
-    "window_construction_robin": ("WIN10, WIN11, PAR22", "select question_id, checkpoint, response_id from (select *, row_number() over (partition by question_id order by turn, checkpoint) as pos from (select *, row_number() over (partition by question_id, checkpoint order by f1 desc, response_id) as turn from metrics)) where pos <= 4"),
-    "window_balanced_sample": ("WIN12, SRT05, SPL08", "select question_id, response_id, turn from (select question_id, response_id, row_number() over (partition by question_id order by sha<<concat_ws(':', '5', cast(response_id as string))>>, response_id) as turn from metrics) where turn <= 2"),
-    "window_best_epoch": ("WIN16", "select checkpoint, n_pred as epoch, f1 from (select checkpoint, n_pred, round(avg(f1), 9) as f1, row_number() over (partition by checkpoint order by round(avg(f1), 9) desc, n_pred) as rn from metrics group by checkpoint, n_pred) where rn = 1"),
-    "window_rank_blend": ("WIN20", "select question_id, answer, row_number() over (partition by question_id order by round(0.4e0 / a + 0.6e0 / b, 12) desc, answer) as rk from (select question_id, answer, row_number() over (partition by question_id order by round(rank_vote, 9) desc, answer) as a, row_number() over (partition by question_id order by votes desc, best_rank, answer) as b from pooled)"),
-    "window_self_consistency": ("WIN22, WIN21", "select question_id, item_key from (select question_id, item_key, row_number() over (partition by question_id order by count(*) desc, min(response_id), item_key) as rn from resp_items group by question_id, item_key) where rn = 1"),
-    "sort_distinct_window": ("SRT03", "select question_id from (select question_id, min(ord) as first from bank_rank group by question_id) order by first, question_id limit 40 offset 20"),
-    "sort_form_priority": ("SRT07, SRT08", "select question_id, arm, ord from (select *, row_number() over (partition by question_id order by case arm when 'purchase' then 0 when 'click' then 1 else 2 end, ord) as rn from event_arm) where rn <= 3"),
-    "set_union_dedupe": ("SET01, SET15", "select question_id, item_key, count(distinct checkpoint) as origins from resp_items group by question_id, item_key"),
-    "set_frequency_fallback": ("SET02, ENS01", "with f as (select question_id, item_key, count(distinct response_id) as n from resp_items group by question_id, item_key), m as (select question_id, max(n) as most from f group by question_id) select f.question_id, f.item_key from f join m on m.question_id = f.question_id where n >= 3 or most < 3"),
-    "set_leakage": ("SET03, FLT19", "select count(*) as shared from (select question_id from bank_rank where question_id % 2 = 0 intersect select question_id from bank_rank where question_id % 2 = 1)"),
-    "set_exact_duplicates": ("SET09, SET13", "select min(doc_id) as first_id, count(*) as copies from documents group by text"),
-    "join_pair_chains": ("extension", "select count(*) as subsets from pairs a join pairs b on a.question_id = b.question_id and a.chosen_id = b.rejected_id"),
-    "array_min_ranks": ("ARR10, ARR11", "select question_id, answer, model, src_rank as min_rank from per_model"),
-    "array_window_merge": ("ARR12, ARR13", "select conv_id, cast(floor((turn - w) / 2) as bigint) as window_id, count(*) as turns from (select c.conv_id, c.turn, v.w from conversations c join (select 0 as w union all select 1 as w) v on true) group by conv_id, cast(floor((turn - w) / 2) as bigint)"),
-    "split_pool_weights": ("SPL16", "with p as (select question_id, answer, cast(1 as double) / count(*) over (partition by question_id) as w from pooled) select question_id, answer, round(w / mean, 9) as weight from p join (select avg(w) as mean from p) m on true"),
-    "ensemble_weighted_vote": ("ENS01", "select question_id, answer, round(sum(case model when 'm0' then 0.5e0 when 'm1' then 0.3e0 else 0.2e0 end), 9) as weight from per_model group by question_id, answer having sum(case model when 'm0' then 0.5e0 when 'm1' then 0.3e0 else 0.2e0 end) >= 0.45e0"),
-    "ensemble_threshold_sweep": ("ENS02", "select t, count(*) as answers, cast(sum(case when answer = gold then 1 else 0 end) as bigint) as tp from (select p.question_id, answer, votes, gold from pooled p join gold_answer g on g.question_id = p.question_id) join (select 1 as t union all select 2 as t union all select 3 as t) on votes >= t group by t"),
-    "ensemble_counterfactual": ("ENS12, ENS13", "select model, count(*) as only_here from (select p.question_id, p.model, count(*) over (partition by p.question_id) as n from per_model p join gold_answer g on g.question_id = p.question_id and g.gold = p.answer) where n = 1 group by model"),
-    "stats_mcnemar": ("ENS17", "with s as (select question_id, max(case when arm = 'click' and score > 50 then 1 else 0 end) as a, max(case when arm = 'purchase' and score > 50 then 1 else 0 end) as b from event_arm group by question_id) select cast(sum(case when a = 0 and b = 1 then 1 else 0 end) as bigint) as gained, cast(sum(case when a = 1 and b = 0 then 1 else 0 end) as bigint) as lost, cast(sum(a * b) as bigint) as both_right, cast(sum((1 - a) * (1 - b)) as bigint) as neither from s"),
-    "stats_zscore": ("ENS19", "select arm, ord, round(case when sd = 0 then 0 else (score - mu) / sd end, 6) as z from (select *, avg(score) over (partition by arm) as mu, stddev_pop(score) over (partition by arm) as sd from event_arm)"),
-    "stats_sigmoid": ("ENS21, PAR29", "select question_id, chosen_id, rejected_id, round(ln(1 + exp(-gain)), 9) as dpo_loss, round(1 / (1 + exp(-gain)), 9) as win from pairs"),
-    "pairs_dcrm": ("PAR02, PAR03", "select question_id, chosen_id, rejected_id, round((1 / (1 + exp(-gain)) - 0.5e0) / (abs(chosen_n - rejected_n) + 1), 9) as dcrm from pairs"),
-    "pairs_curriculum": ("PAR10", "select case when chosen_f1 >= 0.5 and rejected_f1 < 0.1 then 'c3_c1' when chosen_f1 >= 0.5 then 'c3_c2' else 'c2_c1' end as stage, count(*) as pairs from pairs group by 1"),
-    "pairs_tie_labels": ("PAR11", "select question_id, chosen_id, rejected_id, case when gain < 0.15 then 'tie' else 'win' end as label from pairs"),
-    "pairs_wrong_entities": ("PAR12", "select question_id, item_key as wrong, rn from (select question_id, item_key, row_number() over (partition by question_id order by count(*) desc, item_key) as rn from matched where group_id is null group by question_id, item_key) where rn <= 4"),
-    "pairs_gold_vs_sampled": ("PAR04", "select question_id, response_id as rejected_id, n_gold as chosen_n, n_pred as rejected_n from ranked where f1 between 0.1 and 0.8 and n_pred <= 2 * n_gold"),
-    "pairs_set_additions": ("PAR05", "select m.question_id, m.response_id, m.item_key as removed from matched m join metrics x on x.response_id = m.response_id and x.question_id = m.question_id where m.group_id is null and x.n_pred > 1"),
-    "pairs_set_omissions": ("PAR06, SFT09", "select r.question_id, r.response_id, g.alias_key as added from ranked r join gold_groups g on g.question_id = r.question_id where r.rk <= 3 and not exists (select 1 from resp_sets s where s.question_id = r.question_id and s.response_id = r.response_id and s.item_key = g.alias_key)"),
-    "pairs_directions": ("PAR17, PAR18", "select case when chosen_n < rejected_n then 'shorter' when chosen_n > rejected_n then 'longer' else 'same' end as direction, case when chosen_p > rejected_p and chosen_r > rejected_r then 'both' when chosen_p > rejected_p then 'precision' else 'recall' end as operation, count(*) as pairs, round(avg(gain), 6) as gain from pairs group by 1, 2"),
-    "pairs_loss": ("PAR29", "select question_id, chosen_id, rejected_id, round(-ln(1 / (1 + exp(-0.1e0 * (chosen_f1 - rejected_f1)))), 9) as dpo, round(power(chosen_f1 - 0.5e0, 2) + power(rejected_f1 + 0.5e0, 2), 9) as cal_dpo, round(1 - 1 / (1 + exp(-chosen_f1)) + 1 / (1 + exp(-rejected_f1)), 9) as apo_zero from pairs"),
-    "sft_targets": ("SFT01, SFT09", "select question_id, group_id, alias_key, case when group_id = 1 then 'original' else 'variant' end as relation from gold_groups where group_id <= 3"),
-    "sft_visible_gold": ("SFT02, SFT03", "select g.question_id, count(*) as visible from gold_groups g where exists (select 1 from resp_sets s where s.question_id = g.question_id and s.item_key = g.alias_key and s.response_id % 2 = 0) group by g.question_id having count(*) >= 2"),
-    "sft_conversations": ("SFT12, PRJ09", "select conv_id, count(*) as turns, cast(sum(case when role = 'assistant' then 1 else 0 end) as bigint) as answers, min(case when turn = 0 then role end) as first_role from conversations group by conv_id"),
-    "boundary_pending": ("UDF01, UDF05, SRC21, SRC22", "select i.question_id, i.item_key from (select distinct question_id, item_key from resp_items where checkpoint = 'c0') i left join (select distinct question_id, item_key from resp_items where checkpoint = 'c1') c on c.question_id = i.question_id and c.item_key = i.item_key where c.item_key is null and not exists (select 1 from gold_groups g where g.question_id = i.question_id and g.alias_key = i.item_key)"),
-}
-
-for _name, (_ids, _sql) in RELATIONAL.items():
-    QUERIES[_name] = lambda spark, sf_dir, sql=_sql: run_sql(spark, sf_dir, sql)
-    QUERIES[_name].__doc__ = _ids
-    ORACLE[_name] = for_duckdb(_sql)
-
-
 def match_best_assignment(spark, sf_dir):
     """JON18: items to gold groups one to one, the heaviest matching."""
     pairs = view(spark, sf_dir, "matched").where("group_id is not null").selectExpr("question_id", "response_id", "item_ord", "group_id", "cast(100 - item_ord as double) as weight")
@@ -369,5 +267,5 @@ def stats_paired_bootstrap(spark, sf_dir):
 for _f in (match_best_assignment, cluster_complete_link, rank_diversify, stats_paired_bootstrap):
     QUERIES[_f.__name__] = _f
 
-QUERIES |= answers.QUERIES | reviews.QUERIES
-ORACLE |= answers.ORACLE | reviews.ORACLE
+QUERIES |= answers.QUERIES | reviews.QUERIES | relational.QUERIES
+ORACLE |= answers.ORACLE | reviews.ORACLE | relational.ORACLE
