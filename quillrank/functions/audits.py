@@ -95,8 +95,16 @@ INTRODUCED = {
     "introduced_scope_qualifier": r"(?i)\b(?:high[- ]risk|drug[- ]resistant|treatment[- ]resistant|medically refractory|refractory|intractable|relapsed|metastatic|advanced|late[- ]stage|early[- ]stage|pediatric|paediatric|adult)\b",
 }
 RANGE = r"(?i)(\d+(?:[.,]\d+)?)\s*(?:-|–|—|to)\s*(\d+(?:[.,]\d+)?)\s*(%|percent(?:age)?|years?|months?|weeks?|days?|hours?|mg|g|kg|µg|ug|ml|l|mm|cm|m)?(?=$|[\s,.;:)\]])"
-ADMITTED = (r"(?i)\bslightly narrower\b|\bis (?:a |the )?narrower (?:answer|term|range|concept|form)\b|\bis broader than\b|\baccepted alias is (?:a |the )?broader term\b"
-            r"|\bcandidate is (?:a |the )?(?:subtype|subset)\b|\bmore specific\b|\bmore precise and correct answer\b|\baccepted alias .*?\bomits?\b")
+ADMITTED = [
+    r"\bslightly narrower\b",
+    r"\bis (?:a |the )?narrower (?:answer|term|range|concept|form)\b",
+    r"\bis broader than\b",
+    r"\baccepted alias is (?:a |the )?broader term\b",
+    r"\bcandidate is (?:a |the )?(?:subtype|subset)\b",
+    r"\bmore specific\b",
+    r"\bmore precise and correct answer\b",
+    r"\baccepted alias .*?\bomits?\b",
+]
 RATIONALIZED = r"(?i)\b(?:does not|doesn't|not) (?:make (?:it|the candidate) )?(?:narrow|narrower|broaden|broader)|\bnot (?:a )?narrower or broader\b"
 PRODRUG = r"(?i)\b(?:prodrug|pro-drug) (?:of|form of)\b"
 LITTLE_WORDS = ["a", "an", "and", "of", "the", "to", "in", "for", "with"]
@@ -135,7 +143,7 @@ def variant_reasons(answer: Column, aliases: Column, relation: Column, basis: Co
         ("introduced_numeric_approximation", brings("introduced_numeric_approximation") & text.rlike(NUMBER)), ("changed_numeric_range", changed),
         ("introduced_salt_form", (words >= 2) & brings("introduced_salt_form")), ("prodrug_active_moiety_change", basis.rlike(PRODRUG) & ~F.contains(surfaces, F.lit("prodrug"))),
         ("introduced_species_qualifier", ~short & brings("introduced_species_qualifier")), ("introduced_scope_qualifier", ~short & brings("introduced_scope_qualifier")),
-        ("verifier_admits_scope_or_specificity_change", basis.rlike(ADMITTED)), ("verifier_rationalizes_added_scope", basis.rlike(RATIONALIZED) & wider),
+        ("verifier_admits_scope_or_specificity_change", F.exists(F.array(*[F.lit(f"(?i){p}") for p in ADMITTED]), lambda p: F.regexp_like(basis, p))), ("verifier_rationalizes_added_scope", basis.rlike(RATIONALIZED) & wider),
         ("descriptive_expansion_not_concise_surface", ~short & (words >= 13) & (words > 2 * F.greatest(longest, F.lit(1)) + 4)))
     proven = F.startswith(route, F.lit("deterministic_")) | (route == "explicit_parenthetical_abbreviation_in_snippets")
     return F.when(proven, first).otherwise(F.concat(first, more))

@@ -72,15 +72,9 @@ def test_surface_key(text, key):
     assert E.surface_key(text) == key
 
 
-def plain_level(a, b, evidence=()):
+def plain_level(a, b, profiles):
     """The decision by its definition, family by family, without a join."""
-    def families(t):
-        out = [set() for _ in range(7)]
-        for v, f in E.profile(t, evidence):
-            out[f].add(v)
-        return out
-
-    x, y = families(a), families(b)
+    x, y = ([{v for v, g in profiles.get(t, ()) if g == f} for f in range(7)] for t in (a, b))
     if x[0] & y[0]:
         return "exact_normalized"
     cx, cy = x[0] | x[1], y[0] | y[1]
@@ -105,7 +99,10 @@ def test_levels_by_join_equal_the_definition(spark):
     df = spark.createDataFrame([(1, i, t, EVIDENCE) for i, t in enumerate(SURFACES)], "q long, i long, t string, e array<string>")
     a, b = E.with_profiles(df.withColumnRenamed("i", "a"), "t", "e"), E.with_profiles(df.withColumnRenamed("i", "b"), "t", "e")
     got = {(r.a, r.b): r.level for r in E.equivalences(a, b, ["q"], "a", "b").collect()}
-    want = {(i, j): w for (i, x), (j, y) in itertools.product(enumerate(SURFACES), repeat=2) if (w := plain_level(x, y, EVIDENCE))}
+    profiles: dict = {}
+    for r in E.with_profiles(df, "t", "e").collect():
+        profiles.setdefault(r.t, []).append((r.variant, r.family))
+    want = {(i, j): w for (i, x), (j, y) in itertools.product(enumerate(SURFACES), repeat=2) if (w := plain_level(x, y, profiles))}
     assert got == want
     named = {tuple(sorted((SURFACES[i], SURFACES[j]))): v for (i, j), v in got.items()}
     assert named["IL 6", "IL-6"] == "exact_normalized" and named["TNF", "tumor necrosis factor (TNF)"] == "explicit_alias"
@@ -114,6 +111,13 @@ def test_levels_by_join_equal_the_definition(spark):
     assert named["EGFR", "epidermal growth factor receptor"] == "evidence_acronym"
 
 
+def test_alias_edges(spark):
+    cases = [("tumor necrosis factor (TNF)", [("TNF", "tumor necrosis factor")]), ("IL6 (interleukin six) here", [("IL6", "interleukin six")]), ("a word (plain)", []), ("epsilon (ε-1) and Factor (long one)", [("ε-1", "epsilon"), ("Factor", "long one")]), (None, []), ("()", [])]
+    found = over(spark, E.alias_edges, [t for t, _ in cases])
+    assert [[tuple(e) for e in f] for f in found[:3]] == [w for _, w in cases[:3]] and ("ε-1", "epsilon") in [tuple(e) for e in found[3]] and found[4:] == [[], []]
+    assert over(spark, E.abbreviated, ["TNF", "IL-6", "p53", "water", "Water", "two words", "α", "x" * 21, "", "aBC", "abCd", "1-2"]) == [True, True, True, False, False, False, True, False, False, True, False, False]
+
+
 def test_gold_alias_raises_lower_levels_only(spark):
     direct = spark.createDataFrame([(1, "a", "b", "controlled_morphology", 0.82), (1, "a", "c", "exact_normalized", 1.0)], "q long, left string, right string, level string, confidence double")
     support = spark.createDataFrame([(1, 0, "a", 1.0), (1, 0, "b", 0.9), (1, 0, "c", 1.0), (1, 1, "d", 1.0)], "q long, g long, item string, confidence double")
@@ -435,5 +439,8 @@ def test_row_queries_equal_plain_loops(spark, name):
         items = {(r.question_id, r.item_key) for r in answers.view(spark, folder, "resp_sets").collect()}
         gold = {(r.question_id, r.alias_key) for r in answers.view(spark, folder, "gold_groups").collect()}
         some = {q for q, _ in gold if q % 10 == 0}  # the plain loop's share; the query runs on all
-        want = {(q, i, a, w) for q, i in items if q in some for p, a in gold if p == q and (w := plain_level(i, a))}
+        surfaces, profiles = spark.createDataFrame([(t,) for t in {i for _, i in items} | {a for _, a in gold}], "t string"), {}
+        for r in E.with_profiles(surfaces, "t").collect():
+            profiles.setdefault(r.t, []).append((r.variant, r.family))
+        want = {(q, i, a, w) for q, i in items if q in some for p, a in gold if p == q and (w := plain_level(i, a, profiles))}
         assert {(r.question_id, r.item_key, r.alias_key, r.level) for r in got if r.question_id in some} == want
