@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,13 +44,16 @@ def chat_prompt(instruction: Column, question: Column, resources: Column, prefix
 
 
 def token_edits(a: list, b: list) -> int:
-    """Unit-cost edit distance of two sequences."""
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        corner, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            corner, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, corner + (x != y))
-    return row[-1]
+    """Unit-cost edit distance of two sequences, a row of the table at a time: insertions run along a row, so its least
+    values are a running minimum of value minus place."""
+    known = {x: i for i, x in enumerate(dict.fromkeys([*a, *b]))}
+    x, y = (np.array([known[t] for t in s], np.int64) for s in (a, b))
+    place = np.arange(len(y) + 1)
+    row = place.copy()
+    for i, token in enumerate(x, 1):
+        step = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (y != token))])
+        row = np.minimum.accumulate(step - place) + place
+    return int(row[-1])
 
 
 @F.pandas_udf(LongType())

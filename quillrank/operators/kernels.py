@@ -4,6 +4,7 @@ Each takes one question's rows, whose number the sampling of a question bounds;
 
 from __future__ import annotations
 
+import math
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -66,9 +67,9 @@ def assign(df: DataFrame, keys: list[str], left: str, right: str, weight: str) -
         out = []
         for k, cells in groups.items():
             lefts, rights = sorted({i for i, _ in cells}), sorted({j for _, j in cells})
-            grid = np.zeros((len(lefts), len(rights)))
+            grid, row, column = np.zeros((len(lefts), len(rights))), {x: n for n, x in enumerate(lefts)}, {x: n for n, x in enumerate(rights)}
             for (i, j), w in cells.items():
-                grid[lefts.index(i), rights.index(j)] = w
+                grid[row[i], column[j]] = w
             out += [(*k, lefts[i], rights[j]) for i, j in enumerate(best_assignment(grid)) if j >= 0 and grid[i, j] > 0]
         return pd.DataFrame(out, columns=[*keys, left, right])
 
@@ -81,6 +82,14 @@ def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b, autojunk=False).ratio()
 
 
+def at_least(a: str, b: str, least: float) -> bool:
+    """ratio(a, b) >= least; its two upper bounds are cheap and settle most pairs."""
+    if a == b:
+        return True
+    match = SequenceMatcher(None, a, b, autojunk=False)
+    return match.real_quick_ratio() >= least and match.quick_ratio() >= least and match.ratio() >= least
+
+
 def complete_link(df: DataFrame, key: str, order: str, text: str, least: float = 0.75) -> DataFrame:
     """cluster of each row: in order, a row joins the first cluster whose every member is at least that similar."""
     fields = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in (key, order, text))
@@ -88,7 +97,7 @@ def complete_link(df: DataFrame, key: str, order: str, text: str, least: float =
     def run(rows):
         rows, clusters, mine = rows.sort_values(order), [], []
         for value in rows[text]:
-            place = next((n for n, c in enumerate(clusters) if all(ratio(value, x) >= least for x in c)), len(clusters))
+            place = next((n for n, c in enumerate(clusters) if all(at_least(value, x, least) for x in c)), len(clusters))
             if place == len(clusters):
                 clusters.append([])
             clusters[place].append(value)
@@ -120,17 +129,26 @@ def paired_bootstrap(deltas: DataFrame, column: str, resamples: int = 10_000, se
 
     Poisson weights stand for drawing with replacement, so that each partition adds its weighted sums by itself."""
     per = resamples // blocks
+    resamples = per * blocks
+    odds = np.cumsum(np.exp(-1.0) / np.array([math.factorial(k) for k in range(16)]))  # of a Poisson weight of at most k
+
+    def weights(place: np.ndarray) -> np.ndarray:
+        """A Poisson weight for each row and resample, from a hash of both."""
+        x = place[:, None] + np.arange(1, resamples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        return np.searchsorted(odds, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) * 2.0**-53)
 
     def sums(batches):
         total, weight, s, n = np.zeros(resamples), np.zeros(resamples), 0.0, 0
         for batch in batches:
             x = batch["x"].to_numpy().astype(float)
-            place = batch["place"].to_numpy()
-            for value, p in zip(x, place):
-                w = np.random.Generator(np.random.PCG64([seed, int(p) & (2**63 - 1)])).poisson(1.0, resamples)
-                total += w * value
-                weight += w
-                s, n = s + value, n + 1
+            place = batch["place"].to_numpy().astype(np.int64).view(np.uint64) ^ np.uint64(seed * 0x9E3779B9)
+            for at in range(0, len(x), 64):
+                w = weights(place[at : at + 64])
+                total += x[at : at + 64] @ w
+                weight += w.sum(0)
+            s, n = s + x.sum(), n + len(x)
         for b in range(blocks):
             yield pd.DataFrame({"block": [b], "total": [total[b * per : (b + 1) * per]], "weight": [weight[b * per : (b + 1) * per]], "s": [s], "n": [n]})
 

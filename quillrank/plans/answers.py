@@ -351,13 +351,12 @@ def token_distance(spark, sf_dir):
 @entry("embedding_rank", "with q as (select label, embedding as qe from (select *, row_number() over (partition by label order by vec_id) as rn from embeddings) where rn = 1), s as (select e.label, vec_id, round(list_dot_product(cast(embedding as double[]), cast(qe as double[])) / sqrt(list_dot_product(cast(embedding as double[]), cast(embedding as double[])) * list_dot_product(cast(qe as double[]), cast(qe as double[]))), 6) as score from embeddings e join q on q.label = e.label) select label, vec_id, score, row_number() over (partition by label order by score desc, vec_id) as place from s")
 def embedding_rank(spark, sf_dir):
     """ENS06, PRJ06: vectors of a label by cosine with its first."""
-    from pyspark.sql import Window
-
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     e = table(spark, sf_dir, "embeddings")
     q = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("q"))
     score = dot("embedding", "q") / F.sqrt(dot("embedding", "embedding") * dot("q", "q"))
-    return e.join(q, "label").select("label", "vec_id", F.round(score, 6).alias("score")).withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "vec_id")))
+    ranked = e.join(q, "label").select("label", "vec_id", F.round(score, 6).alias("score"))
+    return R.global_rank(ranked, -F.floor(F.col("score") * 1024), F.desc("score"), "vec_id", within=("label",), name="place")  # by steps of the score
 
 
 @entry("split_kfold", "select question_id, group_id, cast('0x' || substring(sha256(cast(question_id as varchar)), 1, 8) as bigint) % 5 as fold from gold_groups")

@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..operators import kernels as K
 from ..operators import ranking as R
 from ..streaming.events import arm_counts
-from . import answers, relational, reviews
+from . import answers, inputs, relational, reviews
 from .views import for_duckdb, run_sql
 
 S = T.SPACE.replace("'", "''")
@@ -260,12 +260,12 @@ def rank_diversify(spark, sf_dir):
 def stats_paired_bootstrap(spark, sf_dir):
     """ENS14, ENS15."""
     means = view(spark, sf_dir, "arm_means").groupBy("question_id").pivot("arm", ["click", "purchase"]).agg(F.first("mean_score"))
-    return K.paired_bootstrap(means.select("question_id", (F.col("click") - F.col("purchase")).alias("delta")), "delta", 2000)
+    return K.paired_bootstrap(means.select("question_id", (F.col("click") - F.col("purchase")).alias("delta")), "delta")
 
 
 #: Sequential kernels: tests hold them against brute force.
 for _f in (match_best_assignment, cluster_complete_link, rank_diversify, stats_paired_bootstrap):
     QUERIES[_f.__name__] = _f
 
-QUERIES |= answers.QUERIES | reviews.QUERIES | relational.QUERIES
-ORACLE |= answers.ORACLE | reviews.ORACLE | relational.ORACLE
+QUERIES |= answers.QUERIES | reviews.QUERIES | relational.QUERIES | inputs.QUERIES
+ORACLE |= answers.ORACLE | reviews.ORACLE | relational.ORACLE | inputs.ORACLE

@@ -58,7 +58,8 @@ def for_spark(sql: str) -> str:
 
 
 def run_sql(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """sql over the tables of sf_dir; names live in this statement alone, so the session's views stay as they are."""
     sql = for_spark(sql)
-    for table in set(re.findall(r"quillrank_(\w+)", sql)):
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(f"quillrank_{table}")
-    return spark.sql(sql)
+    tables = {f"quillrank_{t}": spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in set(re.findall(r"quillrank_(\w+)", sql))}
+    braced = re.sub(r"quillrank_\w+", lambda m: "{" + m[0] + "}", sql.replace("{", "{{").replace("}", "}}"))
+    return spark.sql(braced, **tables)

@@ -102,3 +102,85 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_token_edits_equal_the_table():
+    from quillrank.functions.prompts import token_edits
+
+    draw = np.random.default_rng(2)
+    for _ in range(300):
+        a, b = (list(draw.integers(0, 4, draw.integers(0, 12))) for _ in range(2))
+        table = [[i + j if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+        for i, j in itertools.product(range(1, len(a) + 1), range(1, len(b) + 1)):
+            table[i][j] = min(table[i - 1][j] + 1, table[i][j - 1] + 1, table[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+        assert token_edits(a, b) == table[-1][-1]
+
+
+def test_operators_find_planted_cases(spark):
+    """Mutations that a shared statement would hide: ties, nulls, leaks, large keys."""
+    from quillrank.operators import tables as Q
+
+    a, b = spark.createDataFrame([(1,), (2,), (None,)], "k long"), spark.createDataFrame([(2,), (None,)], "k long")
+    assert sorted(str(r.k) for r in Q.unknown(a, b, "k").collect()) == ["1", "None"] and [r.k for r in Q.known(a, b, "k").collect()] == [2]
+    assert [(r.k, r.parts) for r in Q.shared_between({"train": a, "test": b}, "k").where("k is not null").collect()] == [(2, ["test", "train"])]
+    rows = spark.createDataFrame([(1, i, i % 3, i % 2) for i in range(40)], "q long, r long, p long, s long")
+    plain = [(x, y) for x in range(40) for y in range(40) if x % 3 >= y % 3 and x % 2 >= y % 2 and (x % 3, x % 2) != (y % 3, y % 2)]
+    assert Q.dominated(rows, "q", ["p", "s"]).first().dominated == len(plain)
+    got = {(r.x, r.y) for r in Q.better_pairs(rows, "q", "r", "p", "s").collect()}
+    assert got == {(x, y) for x in range(40) for y in range(40) if x % 3 > y % 3 and x % 2 <= y % 2}
+    z = {r.k: r.z for r in Q.scores_within(spark.createDataFrame([(1, 2.0), (1, 4.0), (2, 5.0)], "k long, v double"), "k", "v").groupBy("k").agg(F.max("z").alias("z")).collect()}
+    assert z == {1: 1.0, 2: 0.0}
+    ring = Q.next_in_ring(spark.createDataFrame([(i, i % 2) for i in range(7)], "id long, c long"), "id", "c", F.sha2(F.col("id").cast("string"), 256)).collect()
+    assert sorted(r.distractor for r in ring) == list(range(7)) and all(r.id != r.distractor and r.distractor % 2 == r.c for r in ring)
+    sets = spark.createDataFrame([(1, r, i) for r, s in {1: "ab", 2: "abc", 3: "x", 4: "ab"}.items() for i in s], "q long, r long, i string")
+    d = Q.bank_diversity(sets, "q", "r", "i").first()
+    assert (d.units, d.distinct_sets, d.pairs, d.set_edits) == (4, 3, 6, 12) and d.jaccard == pytest.approx((2 / 3 + 1 + 2 / 3) / 6)
+    members = {(r.k, r.m): r.present for r in Q.membership(spark.createDataFrame([(1, "a"), (2, None), (3, "b")], "k long, m string"), "k", "m").collect()}
+    assert members == {(k, m): (k, m) in {(1, "a"), (3, "b")} for k in (1, 2, 3) for m in "ab"}
+
+
+def test_question_sources(spark, tmp_path):
+    from quillrank.sources import questions as S
+
+    (tmp_path / "p.json").write_text(json.dumps([{"id": "1", "type": "List ", "instruction": "a\n\n b", "input_1": "q", "input_2": "e", "input_11": "z", "input_3": "", "output": "[BI]x[EI]"}]))
+    (tmp_path / "r.json").write_text(json.dumps({"questions": [{"id": "1", "type": "list", "body": "b", "exact_answer": [["u"]]}, {"id": "2", "type": "list", "body": "c", "exact_answer": [["v", ["w", "v"]], "y"], "snippets": [{"text": " s "}]}, {"id": "3", "type": "factoid", "body": "d", "exact_answer": "one"}, {"id": "4", "type": "list", "body": "e"}]}))
+    prepared, raw = S.prepared_records(S.read_documents(spark, f"{tmp_path}/p.json")), S.raw_questions(S.read_documents(spark, f"{tmp_path}/r.json"))
+    assert [(r.id, r.type, r.instruction, r.resources) for r in prepared.collect()] == [("1", "list", "a\nb", ["e", "z"])]
+    assert {r.id: r.aliases for r in raw.collect()} == {"1": [["u"]], "2": [["v", "w"], ["y"]], "3": [["one"]], "4": []}
+    assert {r.id: r.gold for r in S.list_examples(prepared, raw).collect()} == {"1": [["x"]], "2": [["v", "w"], ["y"]]}
+    assert {r.id: r.gold_output for r in S.gold_outputs(prepared, raw).collect()} == {"1": "[BI]x[EI]", "2": "[BI]v[EI][BI]y[EI]", "3": "[BE]one[EE]"}
+    assert S.eval_examples(prepared, raw, ["list"], limit=1).count() == 1
+    for name, text in (("list.json", "{}"), ("row.json", '[{"id": "1"}]')):
+        (tmp_path / name).write_text(text)
+        with pytest.raises(Exception, match=name):
+            S.prepared_records(S.read_documents(spark, f"{tmp_path}/{name}")).collect()
+    with pytest.raises(Exception, match="p.json"):
+        S.raw_questions(S.read_documents(spark, f"{tmp_path}/p.json")).collect()
+    (tmp_path / "out").mkdir()
+    (tmp_path / "out" / "a.txt").write_text("x")
+    assert S.archive(f"{tmp_path}/out", f"{tmp_path}/a.tgz") == ["a.txt"]
+    one, other = (S.manifest(spark.range(9).repartition(n)).first() for n in (1, 4))
+    assert one == other and one.rows == 9
+
+
+def test_boundaries(spark):
+    from quillrank.operators import boundary as B
+    from quillrank.operators import experiments as X
+
+    calls = []
+    requests = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b"), (4, "c")], "id long, payload string").withColumn("request_sha256", B.request_hash(F.col("payload")))
+    cache = requests.where("payload = 'a'").select("request_sha256", F.lit("A").alias("response"))
+    assert {r.id: (r.origin, r.response) for r in B.cached_or_called(requests, cache).collect()} == {1: ("cache", "A"), 2: ("pending", None), 3: ("pending", None), 4: ("pending", None)}
+
+    def call(batches):
+        for batch in batches:
+            yield batch.assign(response=batch["payload"].str.upper())[["request_sha256", "response"]]
+
+    got = {r.id: r.origin for r in B.cached_or_called(requests, cache, call, budget=1).collect()}
+    assert got[1] == "cache" and sorted(got.values()).count("call") in (1, 2) and got[2] == got[3] and not calls
+    cut = spark.range(1).select(B.left_truncated(F.array(*map(F.lit, range(9))), F.array(F.lit(90), F.lit(91)), 5).alias("s")).first().s
+    assert cut.ids == [6, 7, 8, 90, 91] and cut.prompt_length == 3 and cut.dropped == 6
+    none = spark.range(1).select(B.left_truncated(F.array(F.lit(1)), F.array(*map(F.lit, range(9))), 5).alias("s")).first().s
+    assert none.ids == [0, 1, 2, 3, 4] and none.prompt_length == 0
+    text = X.markdown("T", spark.createDataFrame([("b|c", 0.5), ("a", None)], "n string, x double"), ["n", "x"], ["n"])
+    assert text == "## T\n\n| n | x |\n|---|---|\n| a |  |\n| b\\|c | 0.5000 |\n"
