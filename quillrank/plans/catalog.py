@@ -11,7 +11,7 @@ from ..functions import text as T
 from ..operators import kernels as K
 from ..operators import ranking as R
 from ..streaming.events import arm_counts
-from . import answers, inputs, relational, reviews
+from . import answers, inputs, orchestration, relational, reviews
 from .views import for_duckdb, run_sql
 
 S = T.SPACE.replace("'", "''")
@@ -267,5 +267,5 @@ def stats_paired_bootstrap(spark, sf_dir):
 for _f in (match_best_assignment, cluster_complete_link, rank_diversify, stats_paired_bootstrap):
     QUERIES[_f.__name__] = _f
 
-QUERIES |= answers.QUERIES | reviews.QUERIES | relational.QUERIES | inputs.QUERIES
-ORACLE |= answers.ORACLE | reviews.ORACLE | relational.ORACLE | inputs.ORACLE
+QUERIES |= answers.QUERIES | reviews.QUERIES | relational.QUERIES | inputs.QUERIES | orchestration.QUERIES
+ORACLE |= answers.ORACLE | reviews.ORACLE | relational.ORACLE | inputs.ORACLE | orchestration.ORACLE
