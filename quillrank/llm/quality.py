@@ -187,18 +187,18 @@ v as (select r, i, concat_ws(chr(10), word, lead(word, 1) over o, lead(word, 2)
         lead(i, 4) over o as last from p window o as (partition by r order by i)),
 h as (select r, i from (select r, i, count(*) over (partition by r, g) as c from v where last is not null) where c > 1),
 n as (select r, count(distinct i + k) as n_repeat_words from h, range(5) as t(k) group by r),
-x as (select r, len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) as trailing,
+x as (select r, len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) as ellipses,
         len(list_filter(lines, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*(-|\* |•)'))) as bulleted, length(regexp_replace(text, '[^0-9]', '', 'g')) as digits from w),
 c as (select r, max(c) as top from (select r, word, count(*) as c from p group by r, word) group by r),
 s as (select w.doc_id, cast(len(words) as bigint) as n_words, cast(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) as bigint) as word_chars,
         cast(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
         cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines, len(lines) as n_lines,
-        cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words, coalesce(top, 0) as top, trailing, bulleted, digits,
+        cast(coalesce(n_repeat_words, 0) as bigint) as n_repeat_words, coalesce(top, 0) as top, ellipses, bulleted, digits,
         len(list_filter(words, lambda x: regexp_matches(x, '[A-Za-z]') or strlen(x) > length(x))) as lettered
       from w left join n using (r) left join c using (r) left join x using (r)),
 b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from s)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not base_failed and word_chars between 2 * n_words and 15 * n_words and 10 * n_symbols <= n_words
   and 100 * n_dup_lines <= 30 * n_lines and 100 * lettered >= 60 * n_words and 100 * top <= 30 * n_words
-  and 100 * digits <= 30 * word_chars and 100 * trailing <= 30 * n_lines and 100 * bulleted <= 90 * n_lines as kept from b
+  and 100 * digits <= 30 * word_chars and 100 * ellipses <= 30 * n_lines and 100 * bulleted <= 90 * n_lines as kept from b
 """

@@ -741,3 +741,25 @@ def test_no_shared_folder_on_a_cluster(spark, monkeypatch):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         common.shared_dir(Session)
+
+
+@pytest.mark.parametrize("name", ["op1_quality_rules", "op8_license_scan"])
+@pytest.mark.parametrize("rows_of", ["table", "awkward"])
+def test_sql_gives_the_same_rows(spark, tmp_path, name, rows_of):
+    import duckdb
+
+    from quillrank.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    if rows_of == "awkward":
+        lines = [("- a b c\n" * 20, "bullets"), ("one two three four...\nfive six seven…\n" * 8, "ellipses"), ("12345 67890 " * 12 + "w x y", "digits"), (license_scan.KNOWN[8][1], "license"), ("* a\n• b c d e f g h i j k l\n", "mixed")]
+        table = [(r[0], r[1]) for r in rows()] + [(500 + i, t) for i, (t, _) in enumerate(lines)]
+        folder = str(tmp_path)
+        spark.createDataFrame(table, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{folder}/documents.parquet{'' if rows_of == 'table' else '/*.parquet'}')")
+    want = con.execute(queries.ORACLE_SQL[name])
+    names = [d[0] for d in want.description]
+    found = queries.QUERIES[name](spark, folder)
+    assert sorted(found.columns) == sorted(names)
+    assert Counter(tuple(r) for r in found.select(*names).collect()) == Counter(want.fetchall())
