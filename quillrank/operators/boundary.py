@@ -83,3 +83,33 @@ def reranked(candidates: DataFrame, logits: DataFrame, key: str, unit: str, ties
     """candidates with score = yes - no of logits(key, unit, yes, no) and their rank in the key (UDF10); unscored ones come last with null."""
     scored = candidates.join(logits.select(key, unit, (F.col("yes") - F.col("no")).alias("score")), [key, unit], "left")
     return scored.withColumn("reranker_rank", F.row_number().over(Window.partitionBy(key).orderBy(F.col("score").desc_nulls_last(), *ties)))
+
+
+def judged(rows: DataFrame, response: str, snippet_ids: str) -> DataFrame:
+    """rows with what a judge's JSON answer says and whether it may be used (UDF03, UDF04).
+
+    The answer is {"verdict", "equivalence", "evidence": [snippet ids]}.  problem: pending without an answer, not_json, an
+    unknown verdict, evidence that is not among the row's snippets, or a supported verdict without evidence; else null."""
+    said = F.from_json(response, "struct<verdict:string,equivalence:string,evidence:array<string>>")
+    cited = F.coalesce(said["evidence"], F.array().cast("array<string>"))
+    problem = (
+        F.when(F.col(response).isNull(), "pending").when(said["verdict"].isNull(), "not_json").when(~said["verdict"].isin("supported", "unsupported", "uncertain"), "unknown_verdict")
+        .when(F.size(F.array_except(cited, F.col(snippet_ids))) > 0, "unknown_evidence").when((said["verdict"] == "supported") & (F.size(cited) == 0), "no_evidence"))
+    return rows.withColumns({"verdict": said["verdict"], "equivalence": said["equivalence"], "problem": problem})
+
+
+def annotated(pairs: DataFrame, notes: DataFrame) -> DataFrame:
+    """pairs with rationale and origin (UDF02): notes(chosen_id, rejected_id, rationale) as annotators gave them; blank ones count as missing."""
+    told = notes.select("chosen_id", "rejected_id", F.nullif(F.trim("rationale"), F.lit("")).alias("rationale"))
+    joined = pairs.join(told, ["chosen_id", "rejected_id"], "left")
+    return joined.withColumn("origin", F.when(F.col("rationale").isNotNull(), "annotated").otherwise("missing"))
+
+
+def multitask_rows(pairs: DataFrame, chosen: str, rejected: str, rationale: str) -> DataFrame:
+    """Training rows of a pair (PAR27): the answer, the judgment of both sides, and, where there is a rationale, the explanation of the error."""
+    task = lambda name, source, target: F.struct(F.lit(name).alias("task"), source.cast("string").alias("source"), target.cast("string").alias("target"))
+    none = F.lit("")
+    tasks = F.array(
+        task("answer", none, F.col(chosen)), task("judge", F.col(chosen), F.lit("right")), task("judge", F.col(rejected), F.lit("wrong")),
+        F.when(F.col(rationale).isNotNull(), task("explain", F.col(rejected), F.col(rationale))))
+    return pairs.select("*", F.inline(F.array_compact(tasks)))

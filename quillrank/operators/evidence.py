@@ -143,3 +143,28 @@ def with_reminder(prompt: Column, reminder: str, marker: str = "Answer:") -> Col
     tail = F.element_at(F.split(prompt, rf"\Q{marker}\E"), -1)
     placed = F.when(F.contains(prompt, F.lit(marker)), F.concat(head, F.lit(reminder + "\n" + marker), tail)).otherwise(F.concat(F.rtrim(prompt), F.lit("\n" + reminder)))
     return F.when(F.contains(prompt, F.lit(reminder)), prompt).otherwise(placed)
+
+
+def formulations(questions: DataFrame, key: str, answers: str) -> DataFrame:
+    """Each question in two paired formulations (SFT11): original asks for one answer, expansion for all; a question without answers has neither."""
+    some = questions.where(F.size(answers) > 0)
+    forms = F.array(
+        F.struct(F.lit("original").alias("formulation"), F.slice(answers, 1, 1).alias("targets")),
+        F.struct(F.lit("expansion").alias("formulation"), F.array_distinct(F.col(answers)).alias("targets")))
+    return some.select(key, F.inline(forms))
+
+
+def packets(questions: DataFrame, snippets: DataFrame, key: str, aliases: str) -> DataFrame:
+    """One packet a question (SFT08): its aliases, its snippets in order, which of them show an alias, and a hash of all that a judge would see."""
+    listed = snippets.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("snippet_id", "text"))).alias("snippets"))
+    rows = questions.join(listed, key, "left").withColumn("snippets", F.coalesce("snippets", F.array().cast(listed.schema["snippets"].dataType)))
+    shown = F.transform(F.filter("snippets", lambda s: visible(F.col(aliases), F.array(s["text"]))), lambda s: s["snippet_id"])
+    return rows.withColumn("shown_in", shown).withColumn("input_sha256", F.sha2(F.to_json(F.struct(key, aliases, "snippets")), 256))
+
+
+def recovered(expected: DataFrame, shards: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """A bank put together again from journal shards (ORC14): the last value of each key, and keys that no shard or no plan has."""
+    last = shards.groupBy(key).agg(F.max_by(value, order).alias(value))
+    joined = expected.select(key, F.lit(True).alias("_planned")).distinct().join(last, key, "full")
+    state = F.when(F.col("_planned").isNull(), "unexpected").when(F.col(value).isNull(), "missing").otherwise("present")
+    return joined.select(key, value, state.alias("state"))

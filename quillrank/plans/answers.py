@@ -340,7 +340,7 @@ def prompt_round_trip(spark, sf_dir):
     return p.select("item_id", "p.instruction", "p.question", F.size("p.resources").alias("n_resources"), F.sha2(F.col("p.resources")[0], 256).alias("first_sha256"))
 
 
-@entry("token_distance")
+@entry("token_distance", "with c as (select surface, chr(cast(32 + row_number() over (order by surface) as integer)) as letter from (select distinct surface from resp_items)), w as (select r.question_id, r.rk, string_agg(letter, '' order by item_ord, tie) as word from ranked r join resp_items i on i.question_id = r.question_id and i.response_id = r.response_id join c on c.surface = i.surface where rk <= 2 group by r.question_id, r.rk) select a.question_id, levenshtein(a.word, b.word) as edits from w a join w b on a.question_id = b.question_id and a.rk = 1 and b.rk = 2")
 def token_distance(spark, sf_dir):
     """STR24, PAR03: edits between the item lists of a question's two best responses."""
     ranked = view(spark, sf_dir, "ranked").where("rk <= 2").select("question_id", "response_id", "rk").join(_listed(spark, sf_dir), ["question_id", "response_id"])

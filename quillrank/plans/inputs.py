@@ -360,3 +360,67 @@ def filter_numeric_holds(t):
     quantity = lambda c: F.struct(F.col(c).alias("text"), M.number_values(F.col(c)).alias("numbers"))
     told = rows.select("p_partkey", "q", quantity("a").alias("a"), F.array(quantity("g")).alias("g"))
     return told.select("p_partkey", F.array_join(M.numeric_holds(F.col("a"), F.col("q"), F.col("g")), "|").alias("holds"))
+
+
+@entry("judge_verdicts", "select conv_id, turn, case conv_id % 5 when 0 then 'pending' when 1 then 'not_json' when 2 then 'unknown_evidence' when 3 then 'no_evidence' end as problem, case when conv_id % 5 = 2 or conv_id % 5 = 3 or conv_id % 5 = 4 then 'supported' end as verdict from conversations")
+def judge_verdicts(t):
+    """UDF03, UDF04: cached answers of a judge, of which some are missing, broken, or cite nothing that was shown."""
+    k = F.col("conv_id") % 5
+    cited = F.when(k == 2, '["S9"]').when(k == 3, "[]").otherwise('["S1"]')
+    answer = F.when(k == 0, None).when(k == 1, "no json").otherwise(F.concat(F.lit('{"verdict": "supported", "equivalence": "equivalent", "evidence": '), cited, F.lit("}")))
+    rows = t("conversations").select("conv_id", "turn", answer.cast("string").alias("response"), F.array(F.lit("S1"), F.lit("S2")).alias("ids"))
+    return B.judged(rows, "response", "ids").select("conv_id", "turn", "problem", "verdict")
+
+
+@entry("pairs_annotated_tasks", "with p as (select question_id, chosen_id, rejected_id, case when chosen_id % 3 = 0 then 'why ' || cast(rejected_id as varchar) end as why from pairs), r as (select *, 'answer' as task, '' as source, cast(chosen_id as varchar) as target from p union all select *, 'judge', cast(chosen_id as varchar), 'right' from p union all select *, 'judge', cast(rejected_id as varchar), 'wrong' from p union all select *, 'explain', cast(rejected_id as varchar), why from p where why is not null) select question_id, chosen_id, rejected_id, case when why is null then 'missing' else 'annotated' end as origin, task, source, target from r")
+def pairs_annotated_tasks(t):
+    """PAR27, UDF02: rationales of some pairs, and the training rows that follow."""
+    pairs = t("pairs").select("question_id", "chosen_id", "rejected_id")
+    notes = pairs.select("chosen_id", "rejected_id", F.when(F.col("chosen_id") % 3 == 0, F.concat(F.lit("why "), F.col("rejected_id").cast("string"))).otherwise(" ").alias("rationale")).distinct()
+    rows = B.multitask_rows(B.annotated(pairs, notes), "chosen_id", "rejected_id", "rationale")
+    return rows.select("question_id", "chosen_id", "rejected_id", "origin", "task", "source", "target")
+
+
+@entry("sft_formulations", "with g as (select question_id, string_agg(alias_key, '|' order by group_id) as every, min(case when group_id = 1 then alias_key end) as one from gold_groups group by question_id) select question_id, 'original' as formulation, one as targets from g union all select question_id, 'expansion', every from g")
+def sft_formulations(t):
+    """SFT11."""
+    gold = t("gold_groups").groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("group_id", "alias_key"))), lambda x: x["alias_key"]).alias("answers"))
+    return V.formulations(gold, "question_id", "answers").withColumn("targets", F.array_join("targets", "|"))
+
+
+@entry("evidence_packets", "with s as (select question_id, checkpoint, ' ' || replace(string_agg(distinct item_key, ' ' order by item_key), '#', ' ') || ' ' as t from resp_items group by question_id, checkpoint), g as (select question_id, count(*) as n from gold_groups group by question_id) select g.question_id, n as aliases, (select count(*) from s where s.question_id = g.question_id) as snippets, coalesce((select string_agg(checkpoint, '|' order by checkpoint) from s where s.question_id = g.question_id and exists (select 1 from gold_groups a where a.question_id = g.question_id and contains(s.t, replace(a.alias_key, '#', ' ')))), '') as shown_in from g")
+def evidence_packets(t):
+    """SFT08: what a judge would see of each question."""
+    texts = t("resp_items").groupBy("question_id", F.col("checkpoint").alias("snippet_id")).agg(F.array_join(F.array_sort(F.collect_set("item_key")), " ").alias("text"))
+    gold = t("gold_groups").groupBy("question_id").agg(F.collect_set("alias_key").alias("aliases"))
+    p = V.packets(gold, texts, "question_id", "aliases")
+    return p.select("question_id", F.size("aliases").cast("long").alias("aliases"), F.size("snippets").cast("long").alias("snippets"), F.array_join("shown_in", "|").alias("shown_in"))
+
+
+@entry("bank_recovered", "with l as (select o_custkey as question_id, max(o_orderkey) as value from orders group by o_custkey), e as (select c_custkey as question_id from customer where c_custkey % 10 <> 1) select coalesce(e.question_id, l.question_id) as question_id, value, case when e.question_id is null then 'unexpected' when value is null then 'missing' else 'present' end as state from e full outer join l on l.question_id = e.question_id")
+def bank_recovered(t):
+    """ORC14: the last row of each key over the shards of a journal, against what was planned."""
+    shards = t("orders").select(F.col("o_custkey").alias("question_id"), F.col("o_orderkey").alias("value"))
+    planned = t("customer").where("c_custkey % 10 <> 1").select(F.col("c_custkey").alias("question_id"))
+    return V.recovered(planned, shards, "question_id", "value", "value")
+
+
+@entry("report_markdown", "with n as (select n_regionkey as r, count(*) as n from nation group by 1) select '## Nations' || chr(10) || chr(10) || '| region | n |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || cast(r as varchar) || ' | ' || cast(n as varchar) || ' |', chr(10) order by r) || chr(10) as text from n")
+def report_markdown(t):
+    """ARR16: a report of one row a region."""
+    n = t("nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.count("*").alias("n"))
+    return t.spark.createDataFrame([(X.markdown("Nations", n, ["region", "n"], ["region"]),)], "text string")
+
+
+@entry("archive_members", "select n from (values ('a/one.txt'), ('two.txt')) v(n)")
+def archive_members(t):
+    """SRC25: small outputs of the driver in an archive."""
+    import os
+
+    with tempfile.TemporaryDirectory() as folder:
+        os.makedirs(f"{folder}/in/a")
+        for name in ("two.txt", "a/one.txt"):
+            with open(f"{folder}/in/{name}", "w", encoding="utf-8") as f:
+                f.write(name)
+        names = S.archive(f"{folder}/in", f"{folder}/out.tar.gz")
+    return t.spark.createDataFrame([(n,) for n in names], "n string")
