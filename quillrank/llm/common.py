@@ -86,9 +86,22 @@ def _remove(spark: SparkSession, path: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def buckets(spark: SparkSession, most: int = 60000) -> int:
-    """How many hash buckets packed entries are dealt to: four for each shuffle partition."""
-    return min(most, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Bytes of stored input for each hash bucket.
+BUCKET_BYTES = 32 << 20
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files and tables that df reads, as Spark knows them before it runs; those of unknown size count as none."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < 1 << 60)
+
+
+def buckets(df: DataFrame, most: int = 60000) -> int:
+    """How many hash buckets the packed entries of df are dealt to: they grow with its input, so that one bucket fits a
+    task at any size, and are four for each shuffle partition at least."""
+    least = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(most, max(least, -(-input_bytes(df) // BUCKET_BYTES)))
 
 
 def row_key(*columns: str) -> list[Column]:

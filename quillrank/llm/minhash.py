@@ -221,10 +221,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
 def _grouped(source: DataFrame, width: int, percent: int, miss: float) -> DataFrame:
     """source(row, id, text), a written table, as (row, id, n, label, least): the component's label, null without words, and its smallest id."""
-    spark, kind = source.sparkSession, source.schema["id"].dataType
+    kind = source.schema["id"].dataType
     from pyspark.sql.pandas.types import to_arrow_type
 
-    n = buckets(spark)
+    n = buckets(source)
     made = written(source.mapInArrow(_bands(width, n, to_arrow_type(kind)), _ENTRY.format(kind.simpleString())))
     sets = made.where("n is not null").select("row", "id", "n", "class")
     stars = made.where("bucket is not null").groupBy("bucket").applyInArrow(_stars, "src long, dst long")

@@ -17,7 +17,10 @@ from pyspark.sql import functions as F
 
 from .common import U, buckets, mix, prepare, row_key, word_hashes
 
-FLUSH_WORDS = 1_000_000
+#: Words of one flush: so many, or FILL for each bucket, so that its entries stay packed where buckets are many.
+FLUSH_WORDS, FILL = 1_000_000, 16
+#: Bits of the second hash, which number the buckets.
+SIDE = 18
 _PACKED = "bucket int, flush string, docs binary, at_low binary, at_high binary, hashes binary"
 _FOUND = "flush string, docs binary, at binary"
 _SPANS = "_k1 long, _k2 int, spans binary"
@@ -70,15 +73,15 @@ def _pack(name, hashes, keys, words, width, n_buckets):
     fits = at + width <= room
     at = at[fits]
     strong = mix(window_hashes(hashes, width)[fits])
-    side = mix(window_hashes(hashes, width, BASES[1])[fits]) >> U(48)
-    order = np.argsort((side << U(48)) | (strong >> U(16)), kind="stable")
+    side = mix(window_hashes(hashes, width, BASES[1])[fits]) >> U(64 - SIDE)
+    order = np.argsort((side << U(64 - SIDE)) | (strong >> U(SIDE)), kind="stable")
     s, d = strong[order], side[order]
     same = np.zeros(len(s) + 1, bool)
     same[1:-1] = (s[1:] == s[:-1]) & (d[1:] == d[:-1])
     local = np.sort(at[order[same[:-1] | same[1:]]])
     keep = np.sort(order[~same[:-1]])
     at, strong = at[keep], strong[keep]
-    bucket = ((side[keep] * U(n_buckets)) >> U(16)).astype(np.uint16)
+    bucket = ((side[keep] * U(n_buckets)) >> U(SIDE)).astype(np.uint32)
     order = np.argsort(bucket, kind="stable")
     at, strong = at[order], strong[order]
     cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
@@ -94,6 +97,8 @@ def _pack(name, hashes, keys, words, width, n_buckets):
 
 
 def _windows(width: int, n_buckets: int):
+    flush_words = max(FLUSH_WORDS, FILL * n_buckets)
+
     def run(batches):
         part, count = TaskContext.get().partitionId(), 0
         hashes, k1, k2, words, n = [], [], [], [], 0
@@ -102,14 +107,14 @@ def _windows(width: int, n_buckets: int):
             ends = np.cumsum(w)
             lo = 0
             while lo < len(w):  # a flush ends after the text that fills it
-                hi = min(len(w), int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + FLUSH_WORDS - n)) + 1)
+                hi = min(len(w), int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + flush_words - n)) + 1)
                 a, b = (ends[lo - 1] if lo else 0), ends[hi - 1]
                 hashes.append(h[a:b])
                 words.append(w[lo:hi])
                 k1.append(batch["_k1"].to_numpy(zero_copy_only=False)[lo:hi])
                 k2.append(batch["_k2"].to_numpy(zero_copy_only=False)[lo:hi])
                 n, lo = n + b - a, hi
-                if n >= FLUSH_WORDS:
+                if n >= flush_words:
                     yield _pack(f"{part}-{count}", np.concatenate(hashes), (np.concatenate(k1), np.concatenate(k2)), np.concatenate(words), width, n_buckets)
                     hashes, k1, k2, words, n, count = [], [], [], [], 0, count + 1
         if words:
@@ -170,10 +175,9 @@ def _runs(x: np.ndarray):
 
 def removal_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 35) -> DataFrame:
     """(_k1, _k2, spans): maximal intervals of words under repeated windows, one row for each text that has any."""
-    spark = docs.sparkSession
-    prepare(spark)
-    n = buckets(spark)
+    prepare(docs.sparkSession)
     source = docs.select(F.col(text).alias("text"), *row_key(key, text))
+    n = buckets(source, 1 << SIDE)
     packed = source.mapInArrow(_windows(width, n), _PACKED)
     found = packed.groupBy("bucket").applyInArrow(_repeats, _FOUND)
     spans = found.groupBy("flush").applyInArrow(_merge(width), _SPANS)
@@ -208,8 +212,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     Rows: key, n_words, n_removed, kept (the words left, joined by a space; with digest its SHA-256).
     Null and empty texts: no words.  Equal rows each keep their own row.  Other columns are not read.
     Equality of windows is equality of hashes, polynomials of the words' hashes modulo a prime: 61 bits, and as many
-    bits of a second one as number the buckets (16 at most).  n windows have about n*n / 2**78 false pairs at 60,000
-    buckets; texts are not compared again, since a third shuffle of them would not fit the disk."""
+    bits of a second one as number the buckets (SIDE at most).  n windows have about n*n / 2**80 false pairs at
+    2**SIDE buckets; texts are not compared again, since a third shuffle of them would not fit the disk."""
     spans = removal_spans(docs, key, text, width)
     source = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), *row_key(key, text))
     joined = source.join(spans, ["_k1", "_k2"], "left").select("id", "text", "spans")

@@ -353,12 +353,29 @@ def brute_kept(texts, width):
 @pytest.mark.parametrize("width, flush", [(35, 1_000_000), (2, 50), (1, 50)])
 def test_substring(docs, none, monkeypatch, width, flush):
     monkeypatch.setattr(substring, "FLUSH_WORDS", flush)
+    monkeypatch.setattr(substring, "FILL", 0)
     texts = [words(r[1]) for r in rows()]
     want = Counter((r[0], len(w), len(w) - len(k), hashlib.sha256(b" ".join(k)).hexdigest()) for r, w, k in zip(rows(), texts, brute_kept(texts, width)))
     assert got(substring.remove_repeats(docs, width=width, digest=True), "doc_id", "n_words", "n_removed", "kept") == want
     assert substring.remove_repeats(none).count() == 0
 
 
+def test_buckets_grow_with_the_input(spark, docs, tmp_path, monkeypatch):
+    docs.write.parquet(str(tmp_path / "docs"))
+    stored = spark.read.parquet(str(tmp_path / "docs"))
+    least = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert common.buckets(docs) == common.buckets(stored) == least
+    size = sum(f.stat().st_size for f in (tmp_path / "docs").glob("*.parquet"))
+    assert common.input_bytes(stored.select("text").where("doc_id > 0")) == size
+    few = [got(substring.remove_repeats(stored, width=2), "doc_id", "n_removed", "kept"), got(minhash.near_duplicates(stored), "doc_id", "component_id")]
+    monkeypatch.setattr(common, "BUCKET_BYTES", 16)
+    monkeypatch.setattr(substring, "FLUSH_WORDS", 50)
+    monkeypatch.setattr(substring, "FILL", 0)
+    assert common.buckets(stored) == -(-size // 16) > least and common.buckets(stored, 10) == 10
+    many = [got(substring.remove_repeats(stored, width=2), "doc_id", "n_removed", "kept"), got(minhash.near_duplicates(stored), "doc_id", "component_id")]
+    assert few == many
+
+
 def thue_morse(n):
     word = "a"
     while len(word) < n:
